@@ -34,7 +34,7 @@ from registra.llm.common import cut, frozen, held_out
 LABELLED = 20_000
 LEAST_DOCS = 6
 LEAST_WEIGHT = 3.0
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: The grammar's closed word classes (English, German, French, Spanish).
 THREAT = "kill hurt destroy murder shoot stab burn strangle töten umbringen verletzen tuer frapper détruire matar golpear destruir".split()
 TARGET = "you your yours they them he she him her people these those du dich dir ihr sie tu toi vous ils elles tú te usted ellos ellas".split()
