@@ -11,8 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from registra.session import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Rows that a file of an intermediate table may hold.
+ROWS_A_FILE = 250_000
 #: The words of a whitespace-cut contract, as a Java regular expression.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -28,6 +32,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,10 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written to the shared folder and read back: a lost executor costs no recomputation."""
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The same rows, written to the shared folder and read back: a lost executor costs no recomputation.
+
+    ``rows``, where known, bounds the number of files: a table for millions of rows does not need one for each partition.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/registra/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // ROWS_A_FILE))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._registra_path = path

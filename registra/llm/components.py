@@ -10,13 +10,14 @@ from registra.llm.common import cut, discard
 MAX_ROUNDS = 60
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is its smallest node. Nulls and loops are dropped.
 
     Both steps hang each node below a smaller neighbour, so the edges end as stars around the smallest nodes. Minima are
     aggregated before they are shuffled, and no step gathers a node's neighbours in one task: they come back by a join.
+    ``rows``, where known, is how many edges there may be.
     """
-    now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges", rows)
     for _ in range(MAX_ROUNDS):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -24,10 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b")
         nxt = small.where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
-        nxt = cut(nxt, "edges")
-        # Stars: no node is both a centre and a leaf, and every leaf has one centre.
-        n, leaves = nxt.agg(F.count(F.lit(1)), F.countDistinct("b")).first()
-        still = n != leaves or nxt.join(nxt.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
+        nxt = cut(nxt, "edges", rows)
+        # Stars: every leaf has one centre, and no centre is a leaf.
+        ends = nxt.select(F.col("a").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")).union(nxt.select("b", F.lit(1), F.lit(0)))
+        still = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or leaf = 1 and centre = 1").limit(1).count()
         discard(now)
         now = nxt
         if not still:

@@ -163,7 +163,7 @@ def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(digests: DataFrame, rows: int, memtable_rows: int = MEMTABLE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """The compacted index of (digest, rank) rows as (digest, smallest rank, n)."""
     shards = parts_for(rows, SHARD_ROWS)
-    runs = cut(digests.mapInArrow(flusher(shards, memtable_rows), RUN_DDL), "lsm-l0")
+    runs = cut(digests.mapInArrow(flusher(shards, memtable_rows), RUN_DDL), "lsm-l0", rows)
     level = 0
     while True:
         most = runs.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
@@ -173,7 +173,7 @@ def build_index(digests: DataFrame, rows: int, memtable_rows: int = MEMTABLE_ROW
         level += 1
         bounded = runs.withColumn("_g", F.pmod(F.col("seq"), F.lit(groups))) if groups > 1 else runs.withColumn("_g", F.lit(0))
         lower = runs
-        runs = cut(bounded.groupBy("shard", "_g").applyInPandas(compactor, RUN_DDL), f"lsm-l{level}")
+        runs = cut(bounded.groupBy("shard", "_g").applyInPandas(compactor, RUN_DDL), f"lsm-l{level}", rows)
         discard(lower)
     return runs.mapInArrow(entries, "digest binary, rank long, n long")
 

@@ -3,18 +3,20 @@
 Documents with one shingle set are a class; one representative stands for it. Two sets of sizes a and b are linked when their
 Jaccard similarity is at least t, so they share at least ceil(t * max(a, b)) shingles (T, the required occurrence count).
 
-1. Thinning. Each representative posts its smallest hashes (a share of its set that leaves a slack over the prefix that t
-   needs). Postings meet by hash; a document goes on only if enough of what it posted lies in lists of two or more.
-2. Index. The remaining documents post their whole sets, so all list lengths are exact. A document stays while at least T of
-   its shingles lie in lists of two or more.
-3. DivideSkip. For a query of n shingles, the T - 1 longest of its lists are set aside. The remaining short lists are merged;
-   any partner must occur in one of them. Lists only a document itself is in fall out by their length.
-4. Links. In each short list every document is first checked against the list's smallest member. The check probes all hashes
-   of one set, those of skipped lists included, by binary search in the other. Components of these links are formed, and then
-   the lists are merged again for documents whose components still differ, each pair counted once with its occurrences.
-   Lists with many members are cut into blocks, so pairs of one list are compared by several tasks.
-
-Nothing is capped or sampled: lists of every length take part, and all sets are whole.
+1. Thinning. Each class posts its smallest hashes (a share of its set that leaves a slack over the prefix that t needs).
+   Postings meet by hash; a class goes on only if enough of what it posted lies in lists of two or more.
+2. Index. The remaining classes post their whole sets, so list lengths are exact. A class stays while at least T of its
+   shingles lie in lists of two or more.
+3. DivideSkip. For a query of n shingles, the T - 1 longest of its lists are set aside, in one order for all queries (length,
+   then hash). The short lists that remain are merged; any partner occurs in one of them. An occurrence also says how many
+   hashes can still follow in either set, so a pair is taken only where these can reach its own required overlap.
+4. Links. In each short list every member is first checked against the most central one, the one that most of its shingles
+   share with others. A check probes all hashes of one set, those of skipped lists included, by binary search in the other.
+   Components of these links are formed; then the lists are merged again, for pairs that are still apart. Lists with many
+   members are cut into blocks, so that several tasks compare them.
+
+Nothing is capped or sampled: lists of every length take part, and all sets are whole. Texts are never shuffled.
+Classes are named by 63 bits of their set's digest, and shingles by 64-bit hashes.
 
 Defined results
   * null texts and texts without words have an empty set, size 0, and are linked with nothing;
@@ -46,60 +48,90 @@ SLACK = 0.15
 POSTINGS = 1_500_000
 BLOCK = 2_048
 CHUNK_POSTINGS = 400_000
+#: Ids that are broadcast to pick texts by; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
-def required(n: np.ndarray | int, num: int, den: int):
+def required(n, num: int, den: int):
     """T for a set of n: what it must share with any partner."""
     return -(-n * num // den)
 
 
+def overlap(a, b, num: int, den: int):
+    """What two sets of these sizes must share."""
+    return -(-num * (a + b) // (num + den))
+
+
+def class_of(hashes: np.ndarray) -> int:
+    return int.from_bytes(set_digest(hashes)[:8], "big") >> 1
+
+
 def set_rows(words: int):
-    """doc_id, text -> doc_id, n, digest, in one pass over the texts."""
+    """doc_id, text -> doc_id, n, cls, in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n, digests = batch.column(1), [], []
-            for i in range(batch.num_rows):
-                found = shingles(texts[i].as_py(), words)
-                n.append(len(found))
-                digests.append(set_digest(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n", "digest"])
+            found = [(len(s), class_of(s)) for s in (shingles(x.as_py(), words) for x in batch.column(1))]
+            n, cls = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "n", "cls"])
 
     return run
 
 
-def post(words: int, buckets: int, share):
-    """id, text -> postings packed by bucket of the hash space: the hashes, their documents, and the sets' sizes."""
-    names = ["bucket", "h", "d", "n"]
+def by_bucket(hs: list[np.ndarray], ids: list[int], buckets: int) -> pa.RecordBatch:
+    """Postings (hash, class) packed by bucket of the hash space."""
+    h, d = np.concatenate(hs), np.repeat(np.array(ids, np.int64), [len(x) for x in hs])
+    b = bucket_of(h, buckets)
+    order = np.argsort(b, kind="stable")
+    h, d, b = h[order], d[order], b[order]
+    at = np.concatenate(([0], np.flatnonzero(np.diff(b)) + 1, [len(b)]))
+    cutter = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(b[at[:-1]].astype(np.int32)), cutter(h), cutter(d)], names=["bucket", "h", "d"])
+
 
-    def flush(hs: list, ids: list, ns: list) -> pa.RecordBatch:
-        h = np.concatenate(hs)
-        lens = [len(x) for x in hs]
-        d, n = np.repeat(np.array(ids, np.int64), lens), np.repeat(np.array(ns, np.int32), lens)
-        b = bucket_of(h, buckets)
-        order = np.argsort(b, kind="stable")
-        h, d, n, b = h[order], d[order], n[order], b[order]
-        at = np.concatenate(([0], np.flatnonzero(np.diff(b)) + 1, [len(b)]))
-        cutter = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(b[at[:-1]].astype(np.int32)), cutter(h), cutter(d), cutter(n)], names=names)
+PACKED = "bucket int, h binary, d binary"
+
+
+def post_texts(words: int, buckets: int, share):
+    """text -> postings of a share of each set. A class that a task has just posted is not posted again; others are told apart in the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, ids, ns, size = [], [], [], 0
+        hs, ids, size, seen = [], [], 0, set()
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i, key in enumerate(keys):
-                found = shingles(texts[i].as_py(), words)
-                out = found[: share(len(found))]
-                if len(out):
-                    hs.append(out)
-                    ids.append(key)
-                    ns.append(len(found))
-                    size += len(out)
+            for text in batch.column(0):
+                found = shingles(text.as_py(), words)
+                if not len(found) or (cls := class_of(found)) in seen:
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(cls)
+                hs.append(found[: share(len(found))])
+                ids.append(cls)
+                size += len(hs[-1])
                 if size >= CHUNK_POSTINGS:
-                    yield flush(hs, ids, ns)
-                    hs, ids, ns, size = [], [], [], 0
+                    yield by_bucket(hs, ids, buckets)
+                    hs, ids, size = [], [], 0
         if hs:
-            yield flush(hs, ids, ns)
+            yield by_bucket(hs, ids, buckets)
+
+    return run
+
+
+def post_sets(buckets: int):
+    """s, cls -> postings of whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs, ids, size = [], [], 0
+        for batch in batches:
+            for s, cls in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                hs.append(u64(s.as_py()))
+                ids.append(cls)
+                size += len(hs[-1])
+                if size >= CHUNK_POSTINGS:
+                    yield by_bucket(hs, ids, buckets)
+                    hs, ids, size = [], [], 0
+        if hs:
+            yield by_bucket(hs, ids, buckets)
 
     return run
 
@@ -109,83 +141,88 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-PACKED = "bucket int, h binary, d binary, n binary"
-
-
-def lists(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A bucket's postings that lie in lists of two or more: hash, document, size and list length, by (hash, document)."""
+def lists(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's postings in lists of two or more: hash, class and list length, by (hash, class)."""
     h = np.concatenate([u64(x) for x in pdf["h"]])
     d = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["d"]])
-    n = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["n"]])
     order = np.argsort(h, kind="stable")
-    hs = h[order]
-    new = np.concatenate(([True], hs[1:] != hs[:-1])) if len(hs) else np.empty(0, bool)
-    at = np.flatnonzero(new)
-    length = np.diff(np.concatenate((at, [len(hs)])))
+    h, d = h[order], d[order]
+    # Hashes that stand alone, most of them, go before the classes are sorted too.
+    more = np.zeros(len(h), bool)
+    same = h[1:] == h[:-1]
+    more[1:] |= same
+    more[:-1] |= same
+    h, d = h[more], d[more]
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
+    h, d = h[~again], d[~again]
+    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+    length = np.diff(np.concatenate((at, [len(h)])).astype(np.int64))
     full = np.repeat(length, length)
-    keep = full > 1
-    order, full = order[keep], full[keep]
-    h, d, n = h[order], d[order], n[order]
-    fine = np.lexsort((d, h))
-    return h[fine], d[fine], n[fine], full[fine]
+    return h[full > 1], d[full > 1], full[full > 1]
 
 
 def shared_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """How many of each document's postings in this bucket lie in lists of two or more, packed in one row."""
-    _, d, _, _ = lists(pdf)
-    ids, counts = np.unique(d, return_counts=True)
-    return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "d": [ids.tobytes()], "c": [counts.astype(np.int32).tobytes()]})
+    """How many of each class's postings in this bucket lie in lists of two or more, packed in one row."""
+    ids, counts = np.unique(lists(pdf)[1], return_counts=True)
+    return pd.DataFrame({"d": [ids.tobytes()], "c": [counts.astype(np.int32).tobytes()]})
 
 
 def unpack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for d, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(d, np.int64)), pa.array(np.frombuffer(c, np.int32))], names=["rep", "c"])
+        for d, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(d, np.int64)), pa.array(np.frombuffer(c, np.int32))], names=["cls", "c"])
 
 
-def shared_per_doc(postings: DataFrame) -> DataFrame:
-    counts = postings.groupBy("bucket").applyInPandas(shared_counts, "bucket int, d binary, c binary")
-    return counts.mapInArrow(unpack_counts, "rep long, c int").groupBy("rep").agg(F.sum("c").alias("c"))
+def shared_per_class(postings: DataFrame) -> DataFrame:
+    counts = postings.groupBy("bucket").applyInPandas(shared_counts, "d binary, c binary")
+    return counts.mapInArrow(unpack_counts, "cls long, c int").groupBy("cls").agg(F.sum("c").alias("c"))
 
 
-def listed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's index with exact lengths: one row per list."""
-    h, d, n, full = lists(pdf)
-    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-    ends = np.concatenate((at[1:], [len(h)])).astype(np.int64)
-    return pd.DataFrame({"h": h[at].view(np.int64), "len": full[at].astype(np.int64), "d": [d[s:e].tobytes() for s, e in zip(at, ends, strict=True)]})
+def lists_by_class(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's index, turned: for each class its hashes here that others have too, with the lists' lengths."""
+    h, d, full = lists(pdf)
+    order = np.argsort(d, kind="stable")
+    h, d, full = h[order], d[order], full[order].astype(np.int32)
+    at = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.empty(0, np.int64)
+    ends = np.concatenate((at[1:], [len(d)])).astype(np.int64)
+    return pd.DataFrame({"cls": d[at], "h": [h[s:e].tobytes() for s, e in zip(at, ends, strict=True)], "len": [full[s:e].tobytes() for s, e in zip(at, ends, strict=True)]})
 
 
-def set_of_lists(words: int):
-    """rep, text -> rep, n, s: the whole set as packed sorted hashes."""
+def set_of_class(words: int):
+    """text -> cls, n, s: the whole set as packed sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(x.as_py(), words) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["rep", "n", "s"])
+            found = [shingles(x.as_py(), words) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["cls", "n", "s"])
 
     return run
 
 
+SHORT = "h long, cls long, n long, rest long, mid double"
+
+
 def short_lists(num: int, den: int):
-    """A query's lists (hash, length) -> those that DivideSkip merges: all but its T - 1 longest. Hashes in no list of two are shorter still."""
+    """A query's lists -> those that DivideSkip merges, all but its T - 1 longest. Hashes that no other class has come first in
+    the order and need no merging. ``rest`` counts the hashes from this one on, ``mid`` says how central the class is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out_h, out_d, out_n = [], [], []
-            for rep, n, hs, lens in zip(reps, sizes, batch.column(2), batch.column(3), strict=True):
-                h, length = np.array(hs.as_py(), np.int64), np.array(lens.as_py(), np.int64)
+            out: list[list] = [[], [], [], [], []]
+            for cls, n, hs, lens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                h, length = np.frombuffer(b"".join(hs.as_py()), np.int64), np.frombuffer(b"".join(lens.as_py()), np.int32)
                 merge = n - required(n, num, den) + 1 - (n - len(h))
                 if merge <= 0:
                     continue
-                # One order for all documents: by length, then by hash.
                 pick = np.lexsort((h, length))[:merge]
-                out_h.append(h[pick])
-                out_d.append(np.full(len(pick), rep, np.int64))
-                out_n.append(np.full(len(pick), n, np.int64))
-            if out_h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_h, out_d, out_n)], names=["h", "rep", "n"])
+                values = (h[pick], np.full(len(pick), cls), np.full(len(pick), n), len(h) - np.arange(len(pick)), np.full(len(pick), np.log(length).sum() / n))
+                for o, v in zip(out, values, strict=True):
+                    o.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["h", "cls", "n", "rest", "mid"])
 
     return run
 
@@ -211,22 +248,22 @@ def probe(num: int, den: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    left = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
+    left = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(probe(num, den), "a long, b long")
 
 
 def block_pairs(num: int, den: int):
-    """Two blocks of one list's members (id, size, component) -> pairs of different components whose sizes can reach the similarity."""
+    """Two blocks of one list's members (class, size, rest, component) -> pairs of different components that can still reach their overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
-            cols = [batch.column(i) for i in range(7)]
+            cols = [batch.column(i) for i in range(9)]
             for i in range(batch.num_rows):
-                same, (x, nx, cx, y, ny, cy) = cols[0][i].as_py(), (c[i].values.to_numpy() for c in cols[1:])
+                same, (x, nx, rx, cx, y, ny, ry, cy) = cols[0][i].as_py(), (c[i].values.to_numpy() for c in cols[1:])
                 for k in range(len(x)):
-                    ok = (cy != cx[k]) & (np.minimum(ny, nx[k]) * den >= np.maximum(ny, nx[k]) * num)
+                    ok = (cy != cx[k]) & (np.minimum(ry, rx[k]) >= overlap(ny, nx[k], num, den))
                     if same:
                         ok &= y > x[k]
                     hit = y[ok]
@@ -240,139 +277,72 @@ def block_pairs(num: int, den: int):
     return run
 
 
-def jaccard_links(reps: DataFrame, rows: int, postings: int, num: int, den: int, words: int) -> DataFrame:
-    """(a, b): links between representatives (rep, text, n) that connect exactly the pairs at or above the similarity."""
+def jaccard_links(base: DataFrame, classes: DataFrame, rows: int, postings: int, num: int, den: int, words: int) -> DataFrame | None:
+    """(a, b): links between classes that connect exactly the pairs at or above the similarity. ``classes`` has cls, n and rep, an id."""
     buckets = parts_for(int(postings * (1 - num / den + SLACK)) + rows, POSTINGS, 2)
     share = lambda n: min(n, n - required(n, num, den) + 1 + int(n * SLACK))
-    thin = reps.select("rep", "text").mapInArrow(post(words, buckets, share), PACKED).repartition(buckets, "bucket")
+    thin = base.select("text").mapInArrow(post_texts(words, buckets, share), PACKED).repartition(buckets, "bucket")
     # A set shares 1 + slack of what it posted, or as much as a partner of the smallest allowed size has posted with slack.
     least = F.expr(f"1 + cast(floor(floor(n * {num}D / {den}D) * {SLACK}D) as long)")
-    going = reps.select("rep", "n").join(shared_per_doc(thin), "rep").where(F.col("c") >= least).select("rep")
-    going = cut(going, "going")
-
+    going = cut(classes.join(shared_per_class(thin), "cls").where(F.col("c") >= least).select("rep"), "going", rows)
     n_going = going.count()
     if n_going < 2:
-        return reps.sparkSession.createDataFrame([], "a long, b long")
-    narrow = F.broadcast(going) if n_going <= 500_000 else going
-    texts = reps.join(narrow, "rep").select("rep", "text")
-    sets = cut(texts.mapInArrow(set_of_lists(words), "rep long, n long, s binary"), "sets")
+        return None
+    narrow = F.broadcast(going.distinct()) if n_going <= BROADCAST_IDS else going.distinct()
+    texts = base.join(narrow, F.col("doc_id") == F.col("rep")).select("text")
+    sets = cut(texts.mapInArrow(set_of_class(words), "cls long, n long, s binary"), "sets", n_going)
+    if sets.agg(F.count(F.lit(1)) != F.countDistinct("cls")).first()[0]:  # rows repeated under one id
+        sets = cut(sets.dropDuplicates(["cls"]), "sets", n_going)
     discard(going)
 
-    # The exact index: whole sets, by bucket; again only what enough shared shingles are left of.
-    whole = sets.agg(F.sum("n")).first()[0] or 0
-    full = parts_for(whole, POSTINGS, 2)
-    index = cut(sets.mapInArrow(post_sets(full), PACKED).repartition(full, "bucket").groupBy("bucket").applyInPandas(listed, "h long, len long, d binary"), "lists")
-    member = index.mapInArrow(members, "h long, len long, rep long")
-    queries = (
-        member.groupBy("rep")
-        .agg(F.collect_list(F.struct("h", "len")).alias("l"))
-        .join(sets.select("rep", "n"), "rep")
-        .where(F.size("l") * F.lit(den) >= F.col("n") * F.lit(num))
-        .select("rep", "n", F.col("l.h").alias("hs"), F.col("l.len").alias("lens"))
-    )
-    short = cut(queries.mapInArrow(short_lists(num, den), "h long, rep long, n long"), "short")
-    discard(index)
-
-    # First each member against its list's smallest; then what is still apart, by merged occurrences.
-    hub = short.groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count(F.lit(1)).alias("len")).where("a < z").drop("z")
-    sized = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"))
-    spokes = short.join(hub, "h").where("rep != a").groupBy("a", F.col("rep").alias("b")).agg(F.first("n").alias("n")).join(sized, "a").where(f"least(n, na) * {den} >= greatest(n, na) * {num}").select("a", "b")
-    first = cut(verified(spokes, sets, num, den), "links")
-    label = cut(components(first), "labels")
-
-    tagged = short.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    # Whole sets: first who has enough in common with others at all, then exact lists of those that are left.
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = parts_for(total, POSTINGS, 2)
+    packed = lambda df: df.select("s", "cls").mapInArrow(post_sets(buckets), PACKED).repartition(buckets, "bucket")
+    enough = sets.select("cls", "n").join(shared_per_class(packed(sets)), "cls").where(F.col("c") * F.lit(den) >= F.col("n") * F.lit(num)).select("cls")
+    left = cut(sets.join(enough, "cls"), "left", n_going)
+    discard(sets)
+    index = packed(left).groupBy("bucket").applyInPandas(lists_by_class, "cls long, h binary, len binary")
+    queries = index.groupBy("cls").agg(F.collect_list("h").alias("h"), F.collect_list("len").alias("len")).join(left.select("cls", "n"), "cls").select("cls", "n", "h", "len")
+    short = cut(queries.mapInArrow(short_lists(num, den), SHORT), "short", 8 * n_going)
+
+    # First each member against its list's most central one; then what is still apart.
+    hub = short.groupBy("h").agg(F.max(F.struct(F.col("mid"), -F.col("cls"))).alias("m"), F.count(F.lit(1)).alias("len"), F.max_by("n", F.struct(F.col("mid"), -F.col("cls"))).alias("na")).where("len > 1")
+    spokes = short.join(hub.select("h", (-F.col("m")["col2"]).alias("a"), "na"), "h").where("cls != a").where(f"least(n, na) * {den} >= greatest(n, na) * {num}").select("a", F.col("cls").alias("b")).distinct()
+    first = cut(verified(spokes, left, num, den), "links", rows)
+    label = cut(components(first, rows), "labels", rows)
+
+    tagged = short.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "rest", F.coalesce("component", "cls").alias("comp"))
     split = tagged.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("len")).where("lo != hi").select("h", "len")
-    apart = tagged.join(split, "h").withColumn("blk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("len") / BLOCK)).cast("int"))
-    blocks = apart.groupBy("h", "blk").agg(F.collect_list(F.struct("rep", "n", "comp")).alias("m"))
-    blocks = cut(blocks.select("h", "blk", F.col("m.rep").alias("d"), F.col("m.n").alias("n"), F.col("m.comp").alias("c")), "blocks")
-    one, two = (blocks.select("h", *[F.col(c).alias(f"{c}{i}") for c in ("blk", "d", "n", "c")]) for i in (1, 2))
-    met = one.join(two, "h").where("blk1 <= blk2").select((F.col("blk1") == F.col("blk2")).alias("same"), "d1", "n1", "c1", "d2", "n2", "c2")
+    apart = tagged.join(split, "h").withColumn("blk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("len") / BLOCK)).cast("int"))
+    blocks = apart.groupBy("h", "blk").agg(F.collect_list(F.struct("cls", "n", "rest", "comp")).alias("m"))
+    blocks = blocks.select("h", "blk", F.col("m.cls").alias("d"), F.col("m.n").alias("n"), F.col("m.rest").alias("r"), F.col("m.comp").alias("c"))
+    one, two = (blocks.select("h", *[F.col(c).alias(f"{c}{i}") for c in ("blk", "d", "n", "r", "c")]) for i in (1, 2))
+    met = one.join(two, "h").where("blk1 <= blk2").select((F.col("blk1") == F.col("blk2")).alias("same"), "d1", "n1", "r1", "c1", "d2", "n2", "r2", "c2")
     pairs = met.mapInArrow(block_pairs(num, den), "a long, b long").distinct()
-    second = verified(pairs, sets, num, den)
-    return first.select("a", "b").union(cut(second, "links"))
-
-
-def post_sets(buckets: int):
-    """rep, n, s -> postings of whole sets, packed by bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            reps, packed_sets = batch.column(0).to_pylist(), batch.column(2)
-            for k in range(0, len(reps), 512):
-                hs = [u64(packed_sets[i].as_py()) for i in range(k, min(k + 512, len(reps)))]
-                lens = [len(x) for x in hs]
-                if not sum(lens):
-                    continue
-                h, d = np.concatenate(hs), np.repeat(np.array(reps[k : k + 512], np.int64), lens)
-                n = np.repeat(np.array(lens, np.int32), lens)
-                b = bucket_of(h, buckets)
-                order = np.argsort(b, kind="stable")
-                h, d, n, b = h[order], d[order], n[order], b[order]
-                at = np.concatenate(([0], np.flatnonzero(np.diff(b)) + 1, [len(b)]))
-                cutter = lambda x, at=at: pa.array([x[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(b[at[:-1]].astype(np.int32)), cutter(h), cutter(d), cutter(n)], names=["bucket", "h", "d", "n"])
-
-    return run
-
-
-def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists -> a row per posting."""
-    for batch in batches:
-        h, length = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        d = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-        for k in range(0, len(d), 1 << 20):
-            s = slice(k, k + (1 << 20))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h, length)[s]), pa.array(np.repeat(length, length)[s]), pa.array(d[s])], names=["h", "len", "rep"])
+    return first.select("a", "b").union(cut(verified(pairs, left, num, den), "links", rows))
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) for every row."""
     num, den = similarity
     base = frozen(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = cut(base.mapInArrow(set_rows(words), "doc_id long, n long, digest binary"), "sets")
-    classes = cut(keyed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).where("rep is not null"), "classes")
+    keyed = cut(base.mapInArrow(set_rows(words), "doc_id long, n long, cls long"), "sets")
+    classes = keyed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).where("rep is not null")
     rows, postings = classes.agg(F.count(F.lit(1)), F.sum("n")).first()
-    links = None
-    if rows and rows > 1:
-        # A repeated id may carry several texts: the set's own digest tells which one is meant, so each class gets a number of its own.
-        clash = classes.groupBy("rep").count().where("count > 1").limit(1).count()
-        if clash:
-            return joined_by_number(base, keyed, classes, rows, postings, num, den, words)
-        reps = base.join(classes.select("rep", "n"), F.col("doc_id") == F.col("rep")).select("rep", "n", "text")
-        links = jaccard_links(reps, rows, postings, num, den, words)
-    label = classes.select("digest", "rep")
+    classes = cut(classes, "classes", rows)
+    links = jaccard_links(base, classes, rows, postings, num, den, words) if rows > 1 else None
+    label = classes.select("cls", F.col("rep").alias("component"))
     if links is not None:
-        found = components(links)
-        label = label.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    else:
-        label = label.select("digest", F.col("rep").alias("component"))
-    out = keyed.join(label, "digest", "left")
+        found = components(links, rows).withColumnsRenamed({"node": "cls", "component": "top"})
+        own = classes.join(found, "cls", "left").withColumn("top", F.coalesce("top", "cls"))
+        label = own.join(own.groupBy("top").agg(F.min("rep").alias("component")), "top").select("cls", "component")
+    out = keyed.join(label, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def joined_by_number(base: DataFrame, keyed: DataFrame, classes: DataFrame, rows: int, postings: int, num: int, den: int, words: int) -> DataFrame:
-    """The same where ids are not unique: classes are named by 63 bits of their digests, and ids come back at the end."""
-    name = F.expr("conv(substring(hex(digest), 1, 15), 16, 10)").cast("long")
-    named = cut(classes.select("digest", "n", "rep", name.alias("cls")), "named")
-    digest = base.mapInArrow(with_digest(words), "digest binary, text string")
-    reps = digest.join(named, "digest").groupBy(F.col("cls").alias("rep")).agg(F.first("n").alias("n"), F.first("text").alias("text"))
-    found = components(jaccard_links(cut(reps, "reps"), rows, postings, num, den, words))
-    label = named.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    low = label.groupBy("component").agg(F.min("rep").alias("low"))
-    out = keyed.join(label.join(low, "component").select("digest", "low"), "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
-
-
-def with_digest(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([set_digest(shingles(x.as_py(), words)) for x in batch.column(1)], pa.binary()), batch.column(1)], names=["digest", "text"])
-
-    return run
-
-
 def one_of_each_group(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of linked documents, the one whose id is the component's."""
+    """The rows of ``docs`` that stay: of each group of linked documents, the one whose id is the component's. Rows without an id stay."""
     found = ngram_join(docs, words, similarity)
-    stay = cut(found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "stay")
-    return docs.join(stay, F.col("doc_id") == F.col("_id"), "left_semi")
+    gone = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone", docs.count())
+    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
