@@ -15,6 +15,7 @@ from registra.session import ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+ARROW_ROWS = 2_000
 #: Rows that a file of an intermediate table may hold.
 ROWS_A_FILE = 250_000
 #: The words of a whitespace-cut contract, as a Java regular expression.
@@ -33,6 +34,9 @@ def held_out(doc_id: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    # Rows are whole documents here, some of them long: the default of 10,000 rows a batch takes memory twice, in the JVM and in Python.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

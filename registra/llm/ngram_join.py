@@ -45,9 +45,13 @@ SIMILARITY = (75, 100)
 #: Share of a set that is posted for thinning beyond the prefix; any value gives the same links.
 SLACK = 0.15
 #: Postings that one index task holds, and members of a list that are compared in one block.
-POSTINGS = 1_500_000
+POSTINGS = 800_000
 BLOCK = 2_048
 CHUNK_POSTINGS = 400_000
+#: Classes whose counts one task adds up.
+GROUP_CLASSES = 50_000
+#: A row with a whole set weighs as much as so many short ones.
+HEAVY = 50
 #: Ids that are broadcast to pick texts by; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -164,21 +168,30 @@ def lists(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[full > 1], d[full > 1], full[full > 1]
 
 
-def shared_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """How many of each class's postings in this bucket lie in lists of two or more, packed in one row."""
-    ids, counts = np.unique(lists(pdf)[1], return_counts=True)
-    return pd.DataFrame({"d": [ids.tobytes()], "c": [counts.astype(np.int32).tobytes()]})
+def shared_counts(groups: int):
+    """How many of each class's postings in this bucket lie in lists of two or more, packed by group of classes."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, counts = np.unique(lists(pdf)[1], return_counts=True)
+        order = np.argsort(ids % groups, kind="stable")
+        ids, counts = ids[order], counts[order].astype(np.int32)
+        g = ids % groups
+        at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.empty(0, np.int64)
+        ends = np.concatenate((at[1:], [len(g)])).astype(np.int64)
+        return pd.DataFrame({"g": g[at], "d": [ids[s:e].tobytes() for s, e in zip(at, ends, strict=True)], "c": [counts[s:e].tobytes() for s, e in zip(at, ends, strict=True)]})
 
-def unpack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for d, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(d, np.int64)), pa.array(np.frombuffer(c, np.int32))], names=["cls", "c"])
+    return run
+
+
+def add_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    ids, at = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["d"]]), return_inverse=True)
+    return pd.DataFrame({"cls": ids, "c": np.bincount(at, np.concatenate([np.frombuffer(x, np.int32) for x in pdf["c"]])).astype(np.int64)})
 
 
-def shared_per_class(postings: DataFrame) -> DataFrame:
-    counts = postings.groupBy("bucket").applyInPandas(shared_counts, "d binary, c binary")
-    return counts.mapInArrow(unpack_counts, "cls long, c int").groupBy("cls").agg(F.sum("c").alias("c"))
+def shared_per_class(postings: DataFrame, rows: int) -> DataFrame:
+    """(cls, c): counts leave a bucket packed and are added up by group of classes, a row for each class at the end."""
+    counts = postings.groupBy("bucket").applyInPandas(shared_counts(parts_for(rows, GROUP_CLASSES, 2)), "g long, d binary, c binary")
+    return counts.groupBy("g").applyInPandas(add_counts, "cls long, c long")
 
 
 def lists_by_class(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -284,23 +297,23 @@ def jaccard_links(base: DataFrame, classes: DataFrame, rows: int, postings: int,
     thin = base.select("text").mapInArrow(post_texts(words, buckets, share), PACKED).repartition(buckets, "bucket")
     # A set shares 1 + slack of what it posted, or as much as a partner of the smallest allowed size has posted with slack.
     least = F.expr(f"1 + cast(floor(floor(n * {num}D / {den}D) * {SLACK}D) as long)")
-    going = cut(classes.join(shared_per_class(thin), "cls").where(F.col("c") >= least).select("rep"), "going", rows)
+    going = cut(classes.join(shared_per_class(thin, rows), "cls").where(F.col("c") >= least).select("rep"), "going", rows)
     n_going = going.count()
     if n_going < 2:
         return None
     narrow = F.broadcast(going.distinct()) if n_going <= BROADCAST_IDS else going.distinct()
     texts = base.join(narrow, F.col("doc_id") == F.col("rep")).select("text")
-    sets = cut(texts.mapInArrow(set_of_class(words), "cls long, n long, s binary"), "sets", n_going)
+    sets = cut(texts.mapInArrow(set_of_class(words), "cls long, n long, s binary"), "sets", HEAVY * n_going)
     if sets.agg(F.count(F.lit(1)) != F.countDistinct("cls")).first()[0]:  # rows repeated under one id
-        sets = cut(sets.dropDuplicates(["cls"]), "sets", n_going)
+        sets = cut(sets.dropDuplicates(["cls"]), "sets", HEAVY * n_going)
     discard(going)
 
     # Whole sets: first who has enough in common with others at all, then exact lists of those that are left.
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = parts_for(total, POSTINGS, 2)
     packed = lambda df: df.select("s", "cls").mapInArrow(post_sets(buckets), PACKED).repartition(buckets, "bucket")
-    enough = sets.select("cls", "n").join(shared_per_class(packed(sets)), "cls").where(F.col("c") * F.lit(den) >= F.col("n") * F.lit(num)).select("cls")
-    left = cut(sets.join(enough, "cls"), "left", n_going)
+    enough = sets.select("cls", "n").join(shared_per_class(packed(sets), n_going), "cls").where(F.col("c") * F.lit(den) >= F.col("n") * F.lit(num)).select("cls")
+    left = cut(sets.join(enough, "cls"), "left", HEAVY * n_going)
     discard(sets)
     index = packed(left).groupBy("bucket").applyInPandas(lists_by_class, "cls long, h binary, len binary")
     queries = index.groupBy("cls").agg(F.collect_list("h").alias("h"), F.collect_list("len").alias("len")).join(left.select("cls", "n"), "cls").select("cls", "n", "h", "len")
