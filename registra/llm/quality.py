@@ -117,66 +117,86 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, text_pool: np.nda
     return {"text": w["text"], "meta": w["meta"], "blend": fit(both, y[fresh], penalty=1e-3)}
 
 
-COLUMNS = ["doc_id", "text", "held_out", "n_chars", "source", "lang", "url", "html_size", "tags", "label"]
+DOC = ["doc_id", "text", "held_out", "n_chars", "source", "lang"]
+REST = "doc_id long, held_out boolean, n_chars long, source string, lang string, lines int, longest int"
+PAGE = ["url", "html_size", "tags"]
 
 
-def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    texts = batch.column(1)
-    rest = [batch.column(i).to_pylist() for i in range(3, 9)]
-    text, meta = [], []
-    for i, (n_chars, source, lang, url, size, tags) in enumerate(zip(*rest, strict=True)):
-        t = texts[i].as_py() or ""
-        lines = t.split("\n")
-        text.append(text_features(t))
-        meta.append(meta_features(n_chars, len(lines), max(map(len, lines)), source, lang, url, size, tags))
-    return np.array(text), np.array(meta)
+def text_view(model: dict | None, keep: bool):
+    """Documents -> what is needed of their texts: line layout, and the text view's features (``keep``) or its logit. Texts go no further than this."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lines, longest, found = [], [], []
+            for x in batch.column(1):
+                text = x.as_py() or ""
+                cut_up = text.split("\n")
+                lines.append(len(cut_up))
+                longest.append(max(map(len, cut_up)))
+                found.append(text_features(text))
+            if keep:
+                last, name = pa.array([x.tobytes() for x in found], pa.binary()), "features"
+            else:
+                last, name = pa.array(logits(np.array(found), model["text"]) if model else np.zeros(len(found))), "z"
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in range(2, 6)), pa.array(lines, pa.int32()), pa.array(longest, pa.int32()), last], names=["doc_id", "held_out", "n_chars", "source", "lang", "lines", "longest", name])
+
+    return run
+
+
+def meta_view(batch: pa.RecordBatch) -> np.ndarray:
+    cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n_chars", "lines", "longest", "source", "lang", *PAGE)]
+    return np.array([meta_features(*x) for x in zip(*cols, strict=True)], np.float32).reshape(-1, META_WIDTH + META_NUMBERS)
 
 
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            text, meta = views(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(9), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], names=["label", "text", "meta"])
+        own = lambda c, b=batch: b.column(b.schema.get_field_index(c))
+        yield pa.RecordBatch.from_arrays([own("label"), own("features"), pa.array([x.tobytes() for x in meta_view(batch)], pa.binary())], names=["label", "text", "meta"])
 
 
 def scorer(model: dict | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            text, meta = views(batch)
+            own = lambda c, b=batch: b.column(b.schema.get_field_index(c))
+            zt = np.asarray(own("z"))
             if model is None:
-                t = m = p = np.full(len(text), 0.5)
+                t = m = p = np.full(len(zt), 0.5)
             else:
-                zt, zm = logits(text, model["text"]), logits(meta, model["meta"])
+                zm = logits(meta_view(batch), model["meta"])
                 z = logits(np.stack([zt, zm], axis=1), model["blend"])
                 t, m, p = (1 / (1 + np.exp(-x)) for x in (zt, zm, z))
             arrays = [pa.array(np.asarray(x, np.float64)) for x in (p, t, m)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), arrays[0], pa.array((p >= 0.5).astype(np.int32)), *arrays[1:]], names=["doc_id", "held_out", "score", "predicted", "text_score", "meta_score"])
+            yield pa.RecordBatch.from_arrays([own("doc_id"), own("held_out"), arrays[0], pa.array((p >= 0.5).astype(np.int32)), *arrays[1:]], names=["doc_id", "held_out", "score", "predicted", "text_score", "meta_score"])
 
     return run
 
 
-def with_pages(docs: DataFrame, pages: DataFrame | None) -> DataFrame:
-    base = frozen(docs, "doc_id", "text", "n_chars", "source", "lang")
-    base = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"), F.col("n_chars").cast("long").alias("n_chars"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
+def with_pages(rows: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """``rows`` (no texts among them) with the address, size and tag count of the page of the same id."""
     if pages is None:
-        return base.withColumns({"url": F.lit(None).cast("string"), "html_size": F.lit(None).cast("long"), "tags": F.lit(None).cast("long")})
-    own = frozen(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.struct(F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.length("html").cast("long").alias("html_size"), (F.length("html") - F.length(F.translate("html", "<", ""))).cast("long").alias("tags")).alias("p"))
-    one = own.where("page_id is not null").groupBy("page_id").agg(F.min("p").alias("p"))
-    return base.join(one, F.expr("doc_id = page_id"), "left").select(*base.columns, "p.url", "p.html_size", "p.tags")
+        return rows.withColumns({"url": F.lit(None).cast("string"), "html_size": F.lit(None).cast("long"), "tags": F.lit(None).cast("long")})
+    own = frozen(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.length("html").cast("long").alias("html_size"), (F.length("html") - F.length(F.translate("html", "<", ""))).cast("long").alias("tags"))
+    one = own.where("page_id is not null").groupBy("page_id").agg(F.min(F.struct(*PAGE)).alias("p"))
+    return rows.join(one, F.expr("doc_id = page_id"), "left").select(*rows.columns, *[f"p.{c}" for c in PAGE])
 
 
 def quality(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, labelled: int = LABELLED, pool: int = POOL, learnable: Column | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted (1 is good), text_score and meta_score for every row of ``docs``."""
-    rows = with_pages(docs, pages)
+    base = frozen(docs, *[c for c in DOC if c != "held_out"])
+    base = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"), F.col("n_chars").cast("long").alias("n_chars"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
     learnable = ~held_out(F.col("doc_id")) if learnable is None else learnable
     picked = bounded_labels(labels, "quality", learnable, labelled).withColumnRenamed("quality", "label")
     marked = frozen(labels, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    loose = rows.select("doc_id").where(learnable & F.col("doc_id").isNotNull()).join(marked, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).withColumn("label", F.lit(None).cast("int"))
-    chosen = cut(picked.unionByName(loose), "chosen")
-    seen = rows.join(F.broadcast(chosen), "doc_id").select(*COLUMNS).mapInArrow(extract, "label int, text binary, meta binary").orderBy(F.xxhash64("text", "meta"), "label").collect()
-    return rows.withColumn("label", F.lit(None).cast("int")).select(*COLUMNS).mapInArrow(scorer(trained(seen)), "doc_id long, held_out boolean, score double, predicted int, text_score double, meta_score double")
+    loose = base.select("doc_id").where(learnable & F.col("doc_id").isNotNull()).join(marked, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).withColumn("label", F.lit(None).cast("int"))
+    # Bounded: at most ``labelled`` + ``pool`` rows.
+    chosen = cut(picked.unionByName(loose), "chosen", labelled + pool)
+    seen = base.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select(*DOC).mapInArrow(text_view(None, keep=True), f"{REST}, features binary")
+    seen = with_pages(cut(seen, "seen", labelled + pool), pages).join(chosen, "doc_id").mapInArrow(extract, "label int, text binary, meta binary")
+    model = trained(seen.orderBy(F.xxhash64("text", "meta"), "label").collect())
+    rows = with_pages(base.select(*DOC).mapInArrow(text_view(model, keep=False), f"{REST}, z double"), pages)
+    return rows.mapInArrow(scorer(model), "doc_id long, held_out boolean, score double, predicted int, text_score double, meta_score double")
 
 
 def trained(seen: list) -> dict | None:
