@@ -188,9 +188,10 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", memtable_rows: int = ME
     digest = F.unhex(sha) if digest is None else digest
     # Under "largest", ~id turns the order round without overflow; no id has the last rank either way.
     rank = F.coalesce(F.col("doc_id") if keep == "smallest" else F.bitwise_not("doc_id"), F.lit(int(NO_ID)))
-    keyed = cut(texts.select("doc_id", sha.alias("text_sha256"), digest.alias("_digest"), rank.alias("_rank")), "digests")
-    index = build_index(keyed.select("_digest", "_rank"), keyed.count(), memtable_rows, fan_in)
-    looked = cut(keyed.join(index.withColumnRenamed("digest", "_digest"), "_digest").drop("_rank"), "looked-up")
+    rows = docs.count()
+    keyed = cut(texts.select("doc_id", sha.alias("text_sha256"), digest.alias("_digest"), rank.alias("_rank")), "digests", rows)
+    index = build_index(keyed.select("_digest", "_rank"), rows, memtable_rows, fan_in)
+    looked = cut(keyed.join(index.withColumnRenamed("digest", "_digest"), "_digest").drop("_rank"), "looked-up", rows)
     discard(keyed)
     id_of = F.when(F.col("rank") != int(NO_ID), F.col("rank") if keep == "smallest" else F.bitwise_not("rank"))
 
@@ -207,7 +208,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", memtable_rows: int = ME
         )
         keeper = member.where("_rank = rank").dropDuplicates(["_digest"]).select(F.col("_digest"), F.col("_text").alias("_kept"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
         bad = member.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).join(keeper, ["_digest", "_salt"]).where("_text != _kept").select("_digest").distinct()
-        bad = cut(bad, "collisions")
+        bad = cut(bad, "collisions", n_hits)
         if bad.count():
             return resolved(texts, looked, bad, digest, rank, id_of, spark)
     return looked.select("doc_id", id_of.alias("keep_id"), F.col("n").alias("group_size"), F.expr("doc_id").eqNullSafe(id_of).alias("kept"), "text_sha256")
