@@ -138,8 +138,8 @@ def canonical_json(df: DataFrame, key: str, column: str) -> DataFrame:
         hit = F.col("_f") == fingerprint(m.paths)
         if m.items:
             role, text = m.turns[0]
-            items = F.from_json(F.to_json(F.variant_get("_v", f"$.{m.items}", "variant")), f"array<struct<`{role}`:string,`{text}`:string>>")
-            got = F.coalesce(F.transform(items, lambda t, r=role, x=text, m=m: _turn(t[r], t[x], m.roles)), F.array().cast(TURN))
+            items = F.from_json(F.to_json(F.try_variant_get("_v", f"$.{m.items}", "variant")), f"array<struct<`{role}`:string,`{text}`:string>>")
+            got = _turns(m, {m.items: items}.get)
         else:
             got = _turns(m, lambda p: F.try_variant_get("_v", f"$.{p}", "string"))
         turns, layout = F.when(hit, got).otherwise(turns), F.when(hit, F.lit(m.name)).otherwise(layout)

@@ -173,10 +173,12 @@ def shared_counts(groups: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, counts = np.unique(lists(pdf)[1], return_counts=True)
+        if not len(ids):
+            return pd.DataFrame({"g": [], "d": [], "c": []})
         order = np.argsort(ids % groups, kind="stable")
         ids, counts = ids[order], counts[order].astype(np.int32)
         g = ids % groups
-        at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.empty(0, np.int64)
+        at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         ends = np.concatenate((at[1:], [len(g)])).astype(np.int64)
         return pd.DataFrame({"g": g[at], "d": [ids[s:e].tobytes() for s, e in zip(at, ends, strict=True)], "c": [counts[s:e].tobytes() for s, e in zip(at, ends, strict=True)]})
 
@@ -197,9 +199,11 @@ def shared_per_class(postings: DataFrame, rows: int) -> DataFrame:
 def lists_by_class(pdf: pd.DataFrame) -> pd.DataFrame:
     """A bucket's index, turned: for each class its hashes here that others have too, with the lists' lengths."""
     h, d, full = lists(pdf)
+    if not len(h):
+        return pd.DataFrame({"cls": [], "h": [], "len": []})
     order = np.argsort(d, kind="stable")
     h, d, full = h[order], d[order], full[order].astype(np.int32)
-    at = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.empty(0, np.int64)
+    at = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
     ends = np.concatenate((at[1:], [len(d)])).astype(np.int64)
     return pd.DataFrame({"cls": d[at], "h": [h[s:e].tobytes() for s, e in zip(at, ends, strict=True)], "len": [full[s:e].tobytes() for s, e in zip(at, ends, strict=True)]})
 
