@@ -16,7 +16,8 @@ from registra.session import ship
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 ARROW_ROWS = 2_000
-#: Rows that a file of an intermediate table may hold.
+#: Short rows that a file of an intermediate table may hold; HEAVY says how many of them a row with a whole text or set weighs.
+HEAVY = 50
 ROWS_A_FILE = 250_000
 #: The words of a whitespace-cut contract, as a Java regular expression.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -54,12 +55,13 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """The same rows, written to the shared folder and read back: a lost executor costs no recomputation.
 
-    ``rows``, where known, bounds the number of files: a table for millions of rows does not need one for each partition.
+    ``rows``, where known, decides the number of files: a table for millions of rows does not need one for each partition of
+    the stage that made it, and on local file systems each file starts child processes to set its permissions.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/registra/{name}-{uuid.uuid4().hex}"
     if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // ROWS_A_FILE))
+        df = df.repartition(parts_for(rows, ROWS_A_FILE))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._registra_path = path

@@ -179,5 +179,5 @@ def merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs."""
-    bad = cut(decontaminate(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
+    bad = cut(decontaminate(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "contaminated", docs.count())
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")

@@ -174,5 +174,5 @@ def language_id(docs: DataFrame, learnable: Column | None = None, dimension: int
 
 def known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language could be told: those with a letter."""
-    bad = cut(language_id(docs).where(F.col("lang_pred") == UND).select(F.col("doc_id").alias("_id")).distinct(), "und")
+    bad = cut(language_id(docs).where(F.col("lang_pred") == UND).select(F.col("doc_id").alias("_id")).distinct(), "und", docs.count())
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")

@@ -66,10 +66,11 @@ def size_class(size: Column) -> Column:
 def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies for every row."""
     sized = frozen(docs, "doc_id", "text", "source").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    sized = cut(sized, "sizes")
+    rows = docs.count()
+    sized = cut(sized, "sizes", rows)
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     totals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most).withColumn("_k", key)
-    buckets = parts_for(sized.count(), bucket_rows)
+    buckets = parts_for(rows, bucket_rows)
     # Hash order inside a class, the bucket being its leading part.
     draw = unit(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     dealt = sized.withColumn("_k", key).withColumn("_d", draw).withColumn("_c", size_class(F.col("size")).cast("int")).withColumn("_b", F.floor(F.col("_d") * buckets).cast("int")).drop("source")
@@ -86,5 +87,5 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, b
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    taken = cut(mix(docs, seed).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")), "copies")
+    taken = cut(mix(docs, seed).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")), "copies", docs.count())
     return docs.join(taken, F.expr("doc_id <=> _id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

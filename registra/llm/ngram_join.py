@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.common import cut, discard, frozen, parts_for, u64
+from registra.llm.common import HEAVY, cut, discard, frozen, parts_for, u64
 from registra.llm.components import components
 from registra.llm.shingles import set_digest, shingles
 
@@ -50,8 +50,6 @@ BLOCK = 2_048
 CHUNK_POSTINGS = 400_000
 #: Classes whose counts one task adds up.
 GROUP_CLASSES = 50_000
-#: A row with a whole set weighs as much as so many short ones.
-HEAVY = 50
 #: Ids that are broadcast to pick texts by; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -344,7 +342,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     """doc_id, n_shingles, component_id (the smallest id that links reach) for every row."""
     num, den = similarity
     base = frozen(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = cut(base.mapInArrow(set_rows(words), "doc_id long, n long, cls long"), "sets")
+    keyed = cut(base.mapInArrow(set_rows(words), "doc_id long, n long, cls long"), "sets", docs.count())
     classes = keyed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).where("rep is not null")
     rows, postings = classes.agg(F.count(F.lit(1)), F.sum("n")).first()
     classes = cut(classes, "classes", rows)

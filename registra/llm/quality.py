@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.common import cut, frozen, held_out
+from registra.llm.common import HEAVY, cut, frozen, held_out
 from registra.llm.toxicity import bounded_labels
 
 LABELLED = 6_000
@@ -193,7 +193,7 @@ def quality(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None,
     # Bounded: at most ``labelled`` + ``pool`` rows.
     chosen = cut(picked.unionByName(loose), "chosen", labelled + pool)
     seen = base.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select(*DOC).mapInArrow(text_view(None, keep=True), f"{REST}, features binary")
-    seen = with_pages(cut(seen, "seen", labelled + pool), pages).join(chosen, "doc_id").mapInArrow(extract, "label int, text binary, meta binary")
+    seen = with_pages(cut(seen, "seen", HEAVY * (labelled + pool)), pages).join(chosen, "doc_id").mapInArrow(extract, "label int, text binary, meta binary")
     model = trained(seen.orderBy(F.xxhash64("text", "meta"), "label").collect())
     rows = with_pages(base.select(*DOC).mapInArrow(text_view(model, keep=False), f"{REST}, z double"), pages)
     return rows.mapInArrow(scorer(model), "doc_id long, held_out boolean, score double, predicted int, text_score double, meta_score double")

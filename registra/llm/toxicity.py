@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.common import cut, frozen, held_out
+from registra.llm.common import HEAVY, cut, frozen, held_out
 
 LABELLED = 20_000
 LEAST_DOCS = 6
@@ -245,7 +245,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, learn
     base = frozen(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learnable = ~held_out(F.col("doc_id")) if learnable is None else learnable
     picked = bounded_labels(labels, "toxic", learnable, labelled)
-    rows = cut(base.join(F.broadcast(picked), "doc_id").select("text", "toxic"), "labelled")
+    rows = cut(base.join(F.broadcast(picked), "doc_id").select("text", "toxic"), "labelled", HEAVY * labelled)
     lexicon = learn_lexicon(rows)
     w, b = priors()
     if lexicon:
