@@ -15,7 +15,8 @@ Jaccard similarity is at least t, so they share at least ceil(t * max(a, b)) shi
    Components of these links are formed; then the lists are merged again, for pairs that are still apart. Lists with many
    members are cut into blocks, so that several tasks compare them.
 
-Nothing is capped or sampled: lists of every length take part, and all sets are whole. Texts are never shuffled.
+Nothing is capped or sampled: lists of every length take part, and all sets are whole. Texts are not shuffled, unless more than
+``BROADCAST_IDS`` classes go on after thinning: the texts that are read again are then picked by a shuffled join.
 Classes are named by 63 bits of their set's digest, and shingles by 64-bit hashes.
 
 Defined results
