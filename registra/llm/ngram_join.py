@@ -45,8 +45,12 @@ WORDS = 5
 SIMILARITY = (75, 100)
 #: Share of a set that is posted for thinning beyond the prefix; any value gives the same links.
 SLACK = 0.15
-#: Postings that one index task holds, and members of a list that are compared in one block.
+#: Postings that an index bucket is meant for, and members of a list that are compared in one block.
 POSTINGS = 800_000
+#: Postings of a bucket that are in memory at once; a list of ``1 / LONG`` of them leaves with the length ENDLESS.
+HELD = 3_200_000
+LONG = 64
+ENDLESS = np.iinfo(np.int32).max
 BLOCK = 2_048
 CHUNK_POSTINGS = 400_000
 #: Classes whose counts one task adds up.
@@ -144,18 +148,8 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def lists(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A bucket's postings in lists of two or more: hash, class and list length, by (hash, class)."""
-    h = np.concatenate([u64(x) for x in pdf["h"]])
-    d = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["d"]])
-    order = np.argsort(h, kind="stable")
-    h, d = h[order], d[order]
-    # Hashes that stand alone, most of them, go before the classes are sorted too.
-    more = np.zeros(len(h), bool)
-    same = h[1:] == h[:-1]
-    more[1:] |= same
-    more[:-1] |= same
-    h, d = h[more], d[more]
+def distinct(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings by (hash, class), each once, with the lengths of their lists."""
     order = np.lexsort((d, h))
     h, d = h[order], d[order]
     again = np.zeros(len(h), bool)
@@ -163,25 +157,114 @@ def lists(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, d = h[~again], d[~again]
     at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
     length = np.diff(np.concatenate((at, [len(h)])).astype(np.int64))
-    full = np.repeat(length, length)
+    return h, d, np.repeat(length, length)
+
+
+def lists(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings in lists of two or more: hash, class and list length, by (hash, class)."""
+    order = np.argsort(h, kind="stable")
+    h, d = h[order], d[order]
+    # Hashes that stand alone, most of them, go before the classes are sorted too.
+    more = np.zeros(len(h), bool)
+    same = h[1:] == h[:-1]
+    more[1:] |= same
+    more[:-1] |= same
+    h, d, full = distinct(h[more], d[more])
     return h[full > 1], d[full > 1], full[full > 1]
 
 
+class Bucket:
+    """The postings of one bucket as they stream in. Memory is bounded however long a list is.
+
+    A list that holds ``1 / LONG`` of what the bucket may hold is a long one: its postings leave at once, as do all that still
+    come, and its length is said to be ENDLESS for every member. DivideSkip needs one order of hashes for all queries and the
+    fact that a list has two members or more, both of which this gives. Rows come in one order, so a task that runs again finds the same
+    lists long. A class may be posted twice for a long list of the thinning step; it is then counted twice, which keeps it.
+    """
+
+    def __init__(self, held: int):
+        self.held = self.limit = held
+        self.h, self.d, self.size = [], [], 0
+        self.long, self.far, self.far_size = np.empty(0, np.uint64), [], 0
+
+    def add(self, h: np.ndarray, d: np.ndarray) -> Iterator[tuple]:
+        if len(self.long):
+            far = np.isin(h, self.long)
+            yield from self.leave(h[far], d[far])
+            h, d = h[~far], d[~far]
+        self.h.append(h)
+        self.d.append(d)
+        self.size += len(h)
+        if self.size > self.limit:
+            h, d, full = distinct(np.concatenate(self.h), np.concatenate(self.d))
+            far = full * LONG >= self.held
+            self.long = np.union1d(self.long, h[far])
+            yield from self.leave(h[far], d[far])
+            self.h, self.d = [h[~far]], [d[~far]]
+            self.size = len(self.h[0])
+            self.limit = max(self.held, 2 * self.size)
+
+    def leave(self, h: np.ndarray, d: np.ndarray) -> Iterator[tuple]:
+        if len(h):
+            self.far.append((h, d))
+            self.far_size += len(h)
+        if self.far_size > self.held // 4:
+            yield self.gone()
+
+    def gone(self) -> tuple:
+        h, d, _ = distinct(*(np.concatenate(x) for x in zip(*self.far, strict=True)))
+        self.far, self.far_size = [], 0
+        return h, d, np.full(len(h), ENDLESS)
+
+    def finish(self) -> Iterator[tuple]:
+        if self.far_size:
+            yield self.gone()
+        if self.size:
+            yield lists(np.concatenate(self.h), np.concatenate(self.d))
+
+
+def by_lists(use, held: int):
+    """Packed postings in order of bucket -> what ``use`` makes of each bucket's lists of two or more (hash, class, length)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bucket = None, Bucket(held)
+        for batch in batches:
+            for b, h, d in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if b != at:
+                    yield from (use(*x) for x in bucket.finish() if len(x[0]))
+                    at, bucket = b, Bucket(held)
+                yield from (use(*x) for x in bucket.add(u64(h.as_py()), np.frombuffer(d.as_py(), np.int64)) if len(x[0]))
+        yield from (use(*x) for x in bucket.finish() if len(x[0]))
+
+    return run
+
+
+def bucketed(packed: DataFrame, buckets: int) -> DataFrame:
+    """Postings by bucket, and within a bucket in an order that their content alone decides."""
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "d", "h")
+
+
+def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start and end."""
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    return at, np.concatenate((at[1:], [len(x)])).astype(np.int64)
+
+
+def cut_up(x: np.ndarray, at: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.array([x[s:e].tobytes() for s, e in zip(at, ends, strict=True)], pa.binary())
+
+
 def shared_counts(groups: int):
-    """How many of each class's postings in this bucket lie in lists of two or more, packed by group of classes."""
+    """How many of each class's postings lie in these lists, packed by group of classes."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, counts = np.unique(lists(pdf)[1], return_counts=True)
-        if not len(ids):
-            return pd.DataFrame({"g": [], "d": [], "c": []})
+    def use(h: np.ndarray, d: np.ndarray, full: np.ndarray) -> pa.RecordBatch:
+        ids, counts = np.unique(d, return_counts=True)
         order = np.argsort(ids % groups, kind="stable")
         ids, counts = ids[order], counts[order].astype(np.int32)
-        g = ids % groups
-        at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        ends = np.concatenate((at[1:], [len(g)])).astype(np.int64)
-        return pd.DataFrame({"g": g[at], "d": [ids[s:e].tobytes() for s, e in zip(at, ends, strict=True)], "c": [counts[s:e].tobytes() for s, e in zip(at, ends, strict=True)]})
+        at, ends = runs_of(ids % groups)
+        return pa.RecordBatch.from_arrays([pa.array((ids % groups)[at]), cut_up(ids, at, ends), cut_up(counts, at, ends)], names=["g", "d", "c"])
 
-    return run
+    return use
 
 
 def add_counts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -191,20 +274,16 @@ def add_counts(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def shared_per_class(postings: DataFrame, rows: int) -> DataFrame:
     """(cls, c): counts leave a bucket packed and are added up by group of classes, a row for each class at the end."""
-    counts = postings.groupBy("bucket").applyInPandas(shared_counts(parts_for(rows, GROUP_CLASSES, 2)), "g long, d binary, c binary")
+    counts = postings.mapInArrow(by_lists(shared_counts(parts_for(rows, GROUP_CLASSES, 2)), HELD), "g long, d binary, c binary")
     return counts.groupBy("g").applyInPandas(add_counts, "cls long, c long")
 
 
-def lists_by_class(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's index, turned: for each class its hashes here that others have too, with the lists' lengths."""
-    h, d, full = lists(pdf)
-    if not len(h):
-        return pd.DataFrame({"cls": [], "h": [], "len": []})
+def lists_by_class(h: np.ndarray, d: np.ndarray, full: np.ndarray) -> pa.RecordBatch:
+    """The index, turned: for each class its hashes in these lists, with the lists' lengths."""
     order = np.argsort(d, kind="stable")
     h, d, full = h[order], d[order], full[order].astype(np.int32)
-    at = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-    ends = np.concatenate((at[1:], [len(d)])).astype(np.int64)
-    return pd.DataFrame({"cls": d[at], "h": [h[s:e].tobytes() for s, e in zip(at, ends, strict=True)], "len": [full[s:e].tobytes() for s, e in zip(at, ends, strict=True)]})
+    at, ends = runs_of(d)
+    return pa.RecordBatch.from_arrays([pa.array(d[at]), cut_up(h, at, ends), cut_up(full, at, ends)], names=["cls", "h", "len"])
 
 
 def set_of_class(words: int):
@@ -297,7 +376,7 @@ def jaccard_links(base: DataFrame, classes: DataFrame, rows: int, postings: int,
     """(a, b): links between classes that connect exactly the pairs at or above the similarity. ``classes`` has cls, n and rep, an id."""
     buckets = parts_for(int(postings * (1 - num / den + SLACK)) + rows, POSTINGS, 2)
     share = lambda n: min(n, n - required(n, num, den) + 1 + int(n * SLACK))
-    thin = base.select("text").mapInArrow(post_texts(words, buckets, share), PACKED).repartition(buckets, "bucket")
+    thin = bucketed(base.select("text").mapInArrow(post_texts(words, buckets, share), PACKED), buckets)
     # A set shares 1 + slack of what it posted, or as much as a partner of the smallest allowed size has posted with slack.
     least = F.expr(f"1 + cast(floor(floor(n * {num}D / {den}D) * {SLACK}D) as long)")
     going = cut(classes.join(shared_per_class(thin, rows), "cls").where(F.col("c") >= least).select("rep"), "going", rows)
@@ -314,11 +393,11 @@ def jaccard_links(base: DataFrame, classes: DataFrame, rows: int, postings: int,
     # Whole sets: first who has enough in common with others at all, then exact lists of those that are left.
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = parts_for(total, POSTINGS, 2)
-    packed = lambda df: df.select("s", "cls").mapInArrow(post_sets(buckets), PACKED).repartition(buckets, "bucket")
+    packed = lambda df: bucketed(df.select("s", "cls").mapInArrow(post_sets(buckets), PACKED), buckets)
     enough = sets.select("cls", "n").join(shared_per_class(packed(sets), n_going), "cls").where(F.col("c") * F.lit(den) >= F.col("n") * F.lit(num)).select("cls")
     left = cut(sets.join(enough, "cls"), "left", HEAVY * n_going)
     discard(sets)
-    index = packed(left).groupBy("bucket").applyInPandas(lists_by_class, "cls long, h binary, len binary")
+    index = packed(left).mapInArrow(by_lists(lists_by_class, HELD), "cls long, h binary, len binary")
     queries = index.groupBy("cls").agg(F.collect_list("h").alias("h"), F.collect_list("len").alias("len")).join(left.select("cls", "n"), "cls").select("cls", "n", "h", "len")
     short = cut(queries.mapInArrow(short_lists(num, den), SHORT), "short", 8 * n_going)
 
@@ -361,4 +440,4 @@ def one_of_each_group(docs: DataFrame, words: int = WORDS, similarity: tuple[int
     """The rows of ``docs`` that stay: of each group of linked documents, the one whose id is the component's. Rows without an id stay."""
     found = ngram_join(docs, words, similarity)
     gone = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone", docs.count())
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")

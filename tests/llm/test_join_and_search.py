@@ -67,6 +67,43 @@ def test_join_with_tiny_tasks_and_blocks(spark, monkeypatch):
     assert result(N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+@pytest.mark.parametrize("held", [200, 640, 5_000])
+def test_join_where_long_lists_leave_their_buckets(spark, monkeypatch, held):
+    monkeypatch.setattr(N, "HELD", held)
+    rng = random.Random(held)
+    passage = [f"p{i}" for i in range(30)]
+    rows = near_copies(rng, groups=5, size=40)
+    # A passage that very many different texts share, some of them near one another, and copies of one text over many tasks.
+    for i in range(300):
+        own = [f"q{i % 150}_{j}" for j in range(rng.choice([4, 8, 60]))]
+        rows.append((1_000 + i, " ".join(passage + own)))
+    rows += [(2_000 + i, " ".join(passage + ["same", "text"])) for i in range(100)]
+    rng.shuffle(rows)
+    assert result(N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))) == brute(rows)
+
+
+def test_bucket_gives_whole_lists_in_bounded_pieces():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    h = np.concatenate([rng.integers(0, 4_000, 6_000), np.full(5_000, 7), np.full(3_000, 9)]).astype(np.uint64)
+    d = rng.permutation(len(h)).astype(np.int64)
+    order = rng.permutation(len(h))
+    h, d = h[order], d[order]
+    bucket, pieces = N.Bucket(1_000), []
+    for k in range(0, len(h), 100):
+        pieces += bucket.add(h[k : k + 100], d[k : k + 100])
+    assert bucket.far_size <= 250 + 100 and {7, 9} <= set(bucket.long.tolist())
+    pieces += bucket.finish()
+    got = sorted((x, y) for p in pieces for x, y in zip(p[0].tolist(), p[1].tolist(), strict=True))
+    sizes = dict(zip(*np.unique(h, return_counts=True), strict=True))
+    assert got == sorted((x, y) for x, y in zip(h.tolist(), d.tolist(), strict=True) if sizes[x] > 1)
+    lengths = {}
+    for p in pieces:
+        for x, n in zip(p[0].tolist(), p[2].tolist(), strict=True):
+            assert lengths.setdefault(x, n) == n and n in (sizes[x], N.ENDLESS)
+
+
 def test_chain_of_links_is_one_component(spark):
     words = [f"c{i}" for i in range(200)]
     rows = [(i, " ".join(words[i * 4 : i * 4 + 60])) for i in range(30)]
