@@ -11,7 +11,8 @@ Lines of runs that occurred earlier, by (doc_id, line), are deleted; the earlies
 Defined results
   * null and empty texts have no lines and stay as they are (null stays null);
   * blank lines are neither matched nor deleted, and matching looks past them;
-  * a null id comes before all ids; of rows repeated under one id, windows count as simultaneous, so none deletes another;
+  * a null id comes before all ids; of rows repeated under one id, or without one, each loses only lines of its own: rows with
+    the same text are one document, and different texts are put in order by a hash of the text;
   * documents that lose every line stay, with what blank lines they had; an empty table gives no rows.
 """
 
@@ -31,10 +32,11 @@ def lines_of(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, window: int, long_words: int) -> DataFrame:
-    """One row per window: doc_id, at (place of its first line among the lines that are not blank), len, fp (its fingerprint), fp_at, key (digest of its lines)."""
+    """One row per window: doc_id, tid (a hash of the text), at (place of its first line among the lines that are not blank), len, fp (its fingerprint), fp_at, key (digest of its lines)."""
     seq = F.filter(F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(" \t\r\f\u000b"))), lambda x: F.length(x) > 0)
     hashed = docs.select(
         "doc_id",
+        "tid",
         F.transform(seq, lambda x: F.xxhash64(x)).alias("h"),
         F.transform(seq, lambda x: F.xxhash64(F.lit("second"), x)).alias("g"),
         F.transform(seq, lambda x: F.size(F.split(x, "[ \\t]+")) >= long_words).alias("long"),
@@ -50,23 +52,23 @@ def windows(docs: DataFrame, window: int, long_words: int) -> DataFrame:
     n = F.size("h")
     full = F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), lambda i: one(i, F.lit(window)))).otherwise(F.array().cast("array<struct<at:int,len:int,hs:array<bigint>,k1:bigint,k2:bigint>>"))
     single = F.transform(F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get("long", i)), lambda i: one(i, F.lit(1)))
-    flat = hashed.where(n > 0).select("doc_id", F.explode(F.concat(full, single) if window > 1 else full).alias("w")).select("doc_id", "w.*")
+    flat = hashed.where(n > 0).select("doc_id", "tid", F.explode(F.concat(full, single) if window > 1 else full).alias("w")).select("doc_id", "tid", "w.*")
     low = F.array_min("hs")
     last = F.col("len") - F.array_position(F.reverse("hs"), low).cast("int")
-    return flat.select("doc_id", "at", "len", low.alias("fp"), (F.col("at") + last).alias("fp_at"), "k1", "k2")
+    return flat.select("doc_id", "tid", "at", "len", low.alias("fp"), (F.col("at") + last).alias("fp_at"), "k1", "k2")
 
 
 def line_dedup(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """doc_id, text without the lines of later repeated runs, n_lines (not blank) and n_dropped. Rows are those of ``docs``."""
-    base = frozen(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = frozen(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tid", F.xxhash64("text"))
     found = cut(windows(base, window, long_words), "windows")
     # A fingerprint is a position; two windows may select the same one.
-    shared = found.groupBy("fp").agg(F.min(F.struct("doc_id", "fp_at")).alias("lo"), F.max(F.struct("doc_id", "fp_at")).alias("hi")).where("lo != hi").select("fp")
+    shared = found.groupBy("fp").agg(F.min(F.struct("doc_id", "tid", "fp_at")).alias("lo"), F.max(F.struct("doc_id", "tid", "fp_at")).alias("hi")).where("lo != hi").select("fp")
     candidates = found.join(shared, "fp", "left_semi")
-    first = candidates.groupBy("len", "k1", "k2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last")).where("first != last").drop("last")
-    later = candidates.join(first, ["len", "k1", "k2"]).where(F.struct("doc_id", "at") > F.col("first"))
-    lost = later.select("doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)).alias("i")).distinct().groupBy("doc_id").agg(F.collect_list("i").alias("gone")).withColumnRenamed("doc_id", "_id")
-    out = base.join(lost, F.expr("doc_id <=> _id"), "left")
+    first = candidates.groupBy("len", "k1", "k2").agg(F.min(F.struct("doc_id", "tid", "at")).alias("first"), F.max(F.struct("doc_id", "tid", "at")).alias("last")).where("first != last").drop("last")
+    later = candidates.join(first, ["len", "k1", "k2"]).where(F.struct("doc_id", "tid", "at") > F.col("first"))
+    lost = later.select("doc_id", "tid", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)).alias("i")).distinct().groupBy("doc_id", "tid").agg(F.collect_list("i").alias("gone")).withColumnsRenamed({"doc_id": "_id", "tid": "_tid"})
+    out = base.join(lost, F.expr("doc_id <=> _id and tid = _tid"), "left")
     lines = lines_of(F.col("text"))
     places = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.length(F.btrim(F.get("_lines", i), F.lit(" \t\r\f\u000b"))) > 0)
     drop = F.transform(F.coalesce("gone", F.array().cast("array<int>")), lambda i: F.get("_places", i))

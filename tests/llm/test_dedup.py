@@ -100,6 +100,13 @@ def test_line_edges(edge, empty):
     assert by[7]["n_dropped"] == 1 and by[6]["n_dropped"] == 0
 
 
+def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
+    a, b = "this line of ten words or more is a window alone", "another line of ten words or more stands in one text"
+    rows = [(None, f"{a}\nfirst"), (None, f"start\n{b}"), (5, f"{b}\nfive"), (5, f"other\n{a}"), (5, f"other\n{a}"), (6, "six\nsix")]
+    got = sorted((str(r["doc_id"]), r["text"], r["n_dropped"]) for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("5", "five", 1), ("5", "other", 1), ("5", "other", 1), ("6", "six\nsix", 0), ("None", f"{a}\nfirst", 0), ("None", f"start\n{b}", 0)])
+
+
 def test_long_passage_leaves_later_documents(spark):
     passage = "\n".join(" ".join(f"w{i}{j}" for j in range(9)) for i in range(7))
     rows = [(i, f"own {i} first words\n{passage}\nown {i} last words") for i in range(50)]
