@@ -1,7 +1,7 @@
 """Quality classification by co-training two views.
 
-The text view sees what the text is made of: hashed words and character trigrams, and shares of letters, capitals, digits,
-marks and repeated words. The metadata view sees what stands around it: size and line layout of the document, its source, and,
+The text view sees what the text is made of: hashed byte trigrams, and shares of letters, capitals, digits, blanks and marks.
+The metadata view sees what stands around it: size and line layout of the document, its source, and,
 where a page of the same id exists, the page's address and tags. Each view has its own logistic classifier. Over some rounds
 each classifier scores a pool without labels and hands its most confident rows, as pseudo-labels, to the other. At the end
 each view's logits are calibrated on labelled rows that it was not fitted on, and a logistic combination scores all documents.
@@ -13,7 +13,7 @@ Defined results
   * null texts are empty texts; missing pages, sources and languages give empty features; of several pages for one id, the
     smallest address counts;
   * without labelled rows of both kinds every score is 0.5 and the prediction 1;
-  * repeated rows are scored each; an empty table gives no rows; extra columns are ignored.
+  * repeated rows are scored each, and of rows that share a labelled id one is learned from; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -193,6 +193,8 @@ def quality(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None,
     # Bounded: at most ``labelled`` + ``pool`` rows.
     chosen = cut(picked.unionByName(loose), "chosen", labelled + pool)
     seen = base.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select(*DOC).mapInArrow(text_view(None, keep=True), f"{REST}, features binary")
+    # One row for each id, so that repeated ids do not widen what is fitted on.
+    seen = seen.groupBy("doc_id").agg(F.min(F.struct(*[c for c in seen.columns if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
     seen = with_pages(cut(seen, "seen", HEAVY * (labelled + pool)), pages).join(chosen, "doc_id").mapInArrow(extract, "label int, text binary, meta binary")
     model = trained(seen.orderBy(F.xxhash64("text", "meta"), "label").collect())
     rows = with_pages(base.select(*DOC).mapInArrow(text_view(model, keep=False), f"{REST}, z double"), pages)

@@ -13,8 +13,8 @@ rows and whole texts. Neither labels nor language, source or id is an input of a
 Defined results
   * null and empty texts score like a text without a match (below 0.5); a null label or a label of an unknown row is not used;
   * without labelled rows of both kinds there is no lexicon and every score is the prior's, below 0.5;
-  * repeated labels count as often as they occur; repeated rows are scored each; an empty table gives no rows; extra columns
-    are ignored.
+  * repeated labels and rows that share a labelled id are learned from once, by the smallest text; repeated rows are scored
+    each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -245,7 +245,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, learn
     base = frozen(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learnable = ~held_out(F.col("doc_id")) if learnable is None else learnable
     picked = bounded_labels(labels, "toxic", learnable, labelled)
-    rows = cut(base.join(F.broadcast(picked), "doc_id").select("text", "toxic"), "labelled", HEAVY * labelled)
+    once = base.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = cut(once.select("text", "toxic"), "labelled", HEAVY * labelled)
     lexicon = learn_lexicon(rows)
     w, b = priors()
     if lexicon:
