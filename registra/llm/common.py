@@ -82,6 +82,17 @@ def frozen(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] if n in df.columns else F.lit(None).alias(n) for n in names])
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def per_row(fn: Callable[..., Iterable], columns: list[str], schema: pa.Schema, chunk: int = 4096):
     """A mapInArrow function that calls fn with the values of each row and gathers the tuples that it yields."""
 

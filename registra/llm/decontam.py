@@ -177,7 +177,25 @@ def merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs."""
-    bad = cut(decontaminate(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_id")).distinct(), "contaminated", docs.count())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+def keep_clean(sent, place: int):
+    """Whole rows -> those in whose text, the column at ``place``, no pattern occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines, _ = sent.value
+        for batch in batches:
+            yield batch.filter(pa.array([not any(any(True for _ in m.find(words)) for m in machines) for words in (words_of(t.as_py()) for t in batch.column(place))], pa.bool_()))
+
+    return run
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs.
+
+    Rows are judged as they pass, one by one, so rows that share an id, or have none, do not decide about each other. If the
+    benchmark has several groups of patterns, each searches what the one before has kept.
+    """
+    context, place, kept = docs.sparkSession.sparkContext, docs.columns.index("text"), docs
+    for i, items in enumerate(item_groups(benchmark, group)):
+        kept = cut(kept, "clean") if i else kept
+        kept = kept.mapInArrow(keep_clean(context.broadcast(searchers(patterns_of(items, window))), place), docs.schema)
+    return kept

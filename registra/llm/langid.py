@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.common import cut, frozen, held_out
+from registra.llm.common import frozen, held_out
 
 DIMENSION = 1024
 SEED = 20_240_501
@@ -140,39 +140,67 @@ def prototypes(labelled: DataFrame, dimension: int = DIMENSION) -> list[tuple[st
     return [(lang, v / np.linalg.norm(v)) for lang, v in found if v.any()]
 
 
-def predict(names: list[str], matrix: np.ndarray):
-    """doc_id, text, ... -> the same id, held_out, lang_pred, score."""
+def guesser(names: list[str], matrix: np.ndarray):
+    """text -> (language, cosine), for one task."""
     dimension = matrix.shape[1] if len(names) else 0
+    table = Table(lambda codes: trigram_vectors(codes, dimension).astype(np.float32) @ matrix.T.astype(np.float32), len(names))
+
+    def guess(text: str | None) -> tuple[str, float]:
+        codes, counts = trigrams(text)
+        if not len(codes) or not names:
+            return UND, 0.0
+        cosines = counts.astype(np.float32) @ table.of(codes) / np.sqrt(float(counts @ counts) * dimension)
+        at = int(np.argmax(cosines))
+        return names[at], float(min(1.0, max(0.0, cosines[at])))
+
+    return guess
+
+
+def predict(names: list[str], matrix: np.ndarray):
+    """doc_id, text, held_out -> doc_id, held_out, lang_pred, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table(lambda codes: trigram_vectors(codes, dimension).astype(np.float32) @ matrix.T.astype(np.float32), len(names))
+        guess = guesser(names, matrix)
         for batch in batches:
-            best, scores = [], []
-            for text in batch.column(1):
-                codes, counts = trigrams(text.as_py())
-                if not len(codes) or not names:
-                    best.append(UND)
-                    scores.append(0.0)
-                    continue
-                cosines = counts.astype(np.float32) @ table.of(codes) / np.sqrt(float(counts @ counts) * dimension)
-                at = int(np.argmax(cosines))
-                best.append(names[at])
-                scores.append(float(min(1.0, max(0.0, cosines[at]))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            found = [guess(text.as_py()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
-def language_id(docs: DataFrame, learnable: Column | None = None, dimension: int = DIMENSION) -> DataFrame:
-    """doc_id, held_out, lang_pred and score for every row; rows where ``learnable`` holds (all that are not held out, unless told otherwise) are learned from."""
-    base = frozen(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+def keep_known(names: list[str], matrix: np.ndarray, place: int):
+    """Whole rows -> those whose text, the column at ``place``, is not ``und``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guess = guesser(names, matrix)
+        for batch in batches:
+            yield batch.filter(pa.array([guess(text.as_py())[0] != UND for text in batch.column(place)], pa.bool_()))
+
+    return run
+
+
+def learned(base: DataFrame, learnable: Column | None, dimension: int) -> tuple[list[str], np.ndarray]:
     learnable = ~held_out(F.col("doc_id")) if learnable is None else learnable
     model = prototypes(base.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()), dimension)
-    names, matrix = [x for x, _ in model], np.array([v for _, v in model])
+    return [x for x, _ in model], np.array([v for _, v in model])
+
+
+def columns_of(docs: DataFrame) -> DataFrame:
+    return frozen(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+
+
+def language_id(docs: DataFrame, learnable: Column | None = None, dimension: int = DIMENSION) -> DataFrame:
+    """doc_id, held_out, lang_pred and score for every row; rows where ``learnable`` holds (all that are not held out, unless told otherwise) are learned from."""
+    base = columns_of(docs)
+    names, matrix = learned(base, learnable, dimension)
     return base.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(predict(names, matrix), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language could be told: those with a letter."""
-    bad = cut(language_id(docs).where(F.col("lang_pred") == UND).select(F.col("doc_id").alias("_id")).distinct(), "und", docs.count())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+def known_language(docs: DataFrame, learnable: Column | None = None, dimension: int = DIMENSION) -> DataFrame:
+    """The rows of ``docs`` whose language could be told: those with a letter, if any language was learned.
+
+    Rows are judged as they pass, one by one, so rows that share an id, or have none, do not decide about each other. Where no
+    language could be learned nothing can be rejected, and all rows stay.
+    """
+    names, matrix = learned(columns_of(docs), learnable, dimension)
+    return docs.mapInArrow(keep_known(names, matrix, docs.columns.index("text")), docs.schema) if names else docs

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from registra.llm.common import WORD, cut, frozen, parts_for
+from registra.llm.common import WORD, cut, free, frozen, parts_for
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -87,5 +87,7 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, b
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    taken = cut(mix(docs, seed).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")), "copies", docs.count())
-    return docs.join(taken, F.expr("doc_id <=> _id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    taken = cut(mix(docs, seed).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")), "copies", docs.count())
+    (copy,) = free(docs, "_copy")
+    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    return both.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["_copies"])).alias(copy)).drop(copy)

@@ -11,7 +11,7 @@ prefix-summed, and only rows of one bucket are ever sorted together, so no task
 Defined results
   * null text: size is 16 and the checksum is that of the empty text; rows of a null id go to one shard;
   * repeated rows get slots of their own; equal rows may swap slots; an empty table gives no rows;
-  * extra columns are ignored. With the ``key`` law equal texts of different ids may part.
+  * extra columns are ignored; add_shard() keeps them, but for columns named shard or slot, which it replaces. With the ``key`` law equal texts of different ids may part.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from registra.llm.common import frozen, parts_for
+from registra.llm.common import free, frozen, parts_for
 
 SHARDS = 40
 BUCKET_ROWS = 50_000
@@ -85,11 +85,13 @@ def descend(key: Column, root: Node) -> Column:
 def slots(df: DataFrame, by: str, order: list[str], rows: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds slot: gapless from 0 in each value of ``by``."""
     buckets = parts_for(rows, bucket_rows)
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy(by, "_b").count().withColumn("_o", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    rank = F.row_number().over(Window.partitionBy(by, "_b").orderBy(*order))
-    return dealt.withColumn("_r", rank).join(offsets, [by, "_b"]).withColumn("slot", (F.col("_o") + F.col("_r") - 1).cast("long")).drop("_b", "_o", "_r")
+    b, r, o = free(df, "_b", "_r", "_o")
+    dealt = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy(by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(by, b).agg(F.count(F.lit(1)).alias(r))
+    offsets = counts.withColumn(o, F.coalesce(F.sum(r).over(before), F.lit(0))).drop(r)
+    rank = F.row_number().over(Window.partitionBy(by, b).orderBy(*order))
+    return dealt.withColumn(r, rank).join(offsets, [by, b]).withColumn("slot", (F.col(o) + F.col(r) - 1).cast("long")).drop(b, r, o)
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, base: int = SHARDS, weights: dict[int, float] | None = None) -> DataFrame:

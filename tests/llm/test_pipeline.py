@@ -1,7 +1,10 @@
 """Every stage against brute force on what the stage before has kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from registra.llm import decontam as D
+from registra.llm import langid
 from tests.llm.test_join_and_search import brute, brute_hits
 
 SF = "/root/testdata/sf0.001"
@@ -35,6 +38,30 @@ def test_stages(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_stages_on_edges(spark, edge, empty):
+    """Clashing names, repeated and missing ids: a row decides only about itself in stages that judge texts."""
+    clash = {c: F.lit(i) for i, c in enumerate(("_id", "_copies", "_copy", "_b", "_r", "_o", "slot", "cls", "component_id", "lang_pred", "contaminated", "_k"))}
+    bad = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r["text"].split()) > 12)
+    more = [(None, bad, "en", "a", 1), (9, bad, "en", "a", 1), (11, "11 11", "en", "a", 5), (11, "eleven is a word too", "en", "a", 20)]
+    docs = edge.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True).withColumns(clash)
+    steps, texts = dict(P.STAGES), lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
+    known = steps["language_id"](spark, docs, SF)
+    assert known.columns == docs.columns
+    assert texts(known) == [x for x in texts(docs.where("text is not null")) if any(c.isalpha() for c in x[1])]
+    single = steps["near_duplicates"](spark, known, SF)
+    assert single.columns == docs.columns and 0 < single.count() < known.count()
+    clean = steps["decontamination"](spark, known, SF)
+    assert clean.columns == docs.columns and texts(clean) == [x for x in texts(known) if x[1] != bad]
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    assert texts(D.clean_documents(known, bench, group=200)) == texts(clean)
+    mixed = steps["mixing"](spark, clean, SF)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert steps["sharding"](spark, mixed, SF).count() == mixed.count()
+    for step in steps.values():
+        assert step(spark, empty, SF).collect() == []
+    assert langid.known_language(docs.withColumn("lang", F.lit(None).cast("string"))).count() == docs.count()
+
+
 def test_run_and_shape(spark):
     assert [n for n, _ in P.STAGES] == ["language_id", "near_duplicates", "decontamination", "mixing", "sharding"] and P.ORACLE_SQL is None
     assert P.run(spark, SF).count() > 0
