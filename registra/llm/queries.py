@@ -18,6 +18,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op2_line_dedup_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that is not blank is a run of its own, however short: all its later repeats go."""
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"), window=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
     turns = chat_format.canonical(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
@@ -55,5 +61,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_chat_format, op4_sharding, op5_ngram_join, op6_decontamination, op7_quality, op8_toxicity, op9_language_id, op10_mixing)}
-SQL = {"op1_exact_dedup": sql.EXACT_DEDUP, "op2_line_dedup": sql.line_dedup(line_dedup.WINDOW, line_dedup.LONG_WORDS), "op3_chat_format": sql.CHAT_FORMAT, "op5_ngram_join": sql.NGRAM_JOIN, "op6_decontamination": sql.decontamination(decontam.WINDOW), "op10_mixing": sql.MIXING}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op2_line_dedup_single, op3_chat_format, op4_sharding, op5_ngram_join, op6_decontamination, op7_quality, op8_toxicity, op9_language_id, op10_mixing)}
+SQL = {"op1_exact_dedup": sql.EXACT_DEDUP, "op2_line_dedup": sql.line_dedup(line_dedup.WINDOW, line_dedup.LONG_WORDS), "op2_line_dedup_single": sql.line_dedup(1, line_dedup.LONG_WORDS), "op3_chat_format": sql.CHAT_FORMAT, "op5_ngram_join": sql.NGRAM_JOIN, "op6_decontamination": sql.decontamination(decontam.WINDOW), "op10_mixing": sql.MIXING}

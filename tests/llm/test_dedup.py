@@ -112,3 +112,14 @@ def test_long_passage_leaves_later_documents(spark):
     rows = [(i, f"own {i} first words\n{passage}\nown {i} last words") for i in range(50)]
     got = {r["doc_id"]: r["text"] for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == rows[0][1] and all(got[i] == f"own {i} first words\nown {i} last words" for i in range(1, 50))
+
+
+def test_single_line_query_leaves_no_repeat(spark, tmp_path):
+    from registra.llm.queries import QUERIES
+
+    short = "Licensed under the Apache License, Version 2.0."
+    rows = [(i, f"own {i}\n{short}\n\nlast {i}") for i in range(30)] + [(40, "}\nx\n }"), (41, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_dropped"], r["text_sha256"]) for r in QUERIES["op2_line_dedup_single"](spark, str(tmp_path)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {0: (0, sha(rows[0][1])), **{i: (1, sha(f"own {i}\n\nlast {i}")) for i in range(1, 30)}, 40: (1, sha("}\nx")), 41: (0, sha(""))}
