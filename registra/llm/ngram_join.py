@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.common import HEAVY, cut, discard, frozen, parts_for, u64
+from registra.llm.common import HEAVY, cut, discard, free, frozen, parts_for, u64
 from registra.llm.components import components
 from registra.llm.shingles import set_digest, shingles
 
@@ -437,7 +437,23 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
 
 
 def one_of_each_group(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of linked documents, the one whose id is the component's. Rows without an id stay."""
-    found = ngram_join(docs, words, similarity)
-    gone = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct(), "gone", docs.count())
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    """The rows of ``docs`` that stay: of each group of linked rows one, that of the smallest id, a missing id coming last. Rows without words stay.
+
+    Rows are joined under a 64-bit hash of id and text, so that different rows of one id, or of none, are told apart.
+    """
+    (tag,) = free(docs, "_tag")
+    key, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    tagged, n = docs.withColumn(tag, F.xxhash64(key.isNull(), key, text.isNull(), text)), docs.count()
+    found = ngram_join(tagged.select(F.col(tag).alias("doc_id"), text.alias("text")), words, similarity).where("n_shingles > 0")
+    found = cut(found.groupBy(F.col("doc_id").alias("_t")).agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("rows")), "found", n)
+    ids = tagged.select(F.col(tag).alias("_t"), key.alias("id")).distinct()
+    first = found.join(ids, "_t").groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "_t", "rows")).alias("m")).select("m._t", "m.rows")
+    first = cut(first, "first", n)
+    gone = cut(found.select("_t").join(first, "_t", "left_anti"), "gone", n)
+    kept = tagged.join(gone, tagged[tag] == gone["_t"], "left_anti")
+    # Rows that are equal in id and text: one of them.
+    again = first.where("rows > 1").select("_t")
+    if again.limit(1).count():
+        equal = kept.join(again, F.col(tag) == again["_t"], "left_semi").dropDuplicates([tag])
+        kept = kept.join(again, F.col(tag) == again["_t"], "left_anti").unionByName(equal)
+    return kept.drop(tag)

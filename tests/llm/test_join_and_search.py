@@ -119,6 +119,34 @@ def test_join_edges(edge, empty, spark):
     assert result(N.ngram_join(one)) == [("5", 2, "5")]
 
 
+def kept_of(spark, rows):
+    got = N.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "text"))
+    return sorted(((str(r["doc_id"]), r["text"]) for r in got.collect()), key=str)
+
+
+def test_one_of_each_group_decides_by_row(spark):
+    x, y, z = (" ".join(f"{k}{i}" for i in range(40)) for k in "xyz")
+    rows = [(5, x), (5, y), (2, y + " more"), (9, x + " more"), (None, z), (None, z + " more"), (None, x + " else"), (4, y), (4, y), (1, "one text"), (1, "one text"), (3, ""), (3, None), (None, "")]
+    assert kept_of(spark, rows) in [sorted([("5", x), ("2", y + " more"), ("1", "one text"), ("None", t), ("3", ""), ("3", None), ("None", "")], key=str) for t in (z, z + " more")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_of_each_group_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, i // 4, i // 4, i]), t) for i, t in near_copies(rng)]
+    rows += rng.sample(rows, 30)
+    groups = {}
+    parts = {int(k): c for k, _, c in brute([(i, t) for i, (_, t) in enumerate(rows)])}
+    for i, c in parts.items():
+        groups.setdefault(c, []).append(rows[i])
+    got = [(r["doc_id"], r["text"]) for r in N.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
+    where = {t: parts[i] for i, (_, t) in enumerate(rows)}
+    assert len(got) == len(groups) == len({where[t] for _, t in got})
+    for k, t in got:
+        own = groups[where[t]]
+        assert (k, t) in own and (k is None, k or 0) == min((j is None, j or 0) for j, _ in own)
+
+
 def test_shingles_of_words():
     for text in ("", " \t", "a", "a b c d", "A b\x0bc  d\ne f", "é é é é é é é", "a b c d e a b c d e a b c d e", "w\x85x y z q r s"):
         assert len(shingles(text)) == len(sets_of(text))
