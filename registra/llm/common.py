@@ -93,6 +93,12 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written by cut() with a number of its own for each row, and that column's name. Once written, the numbers stay as they are."""
+    (row,) = free(df, "_row")
+    return cut(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def per_row(fn: Callable[..., Iterable], columns: list[str], schema: pa.Schema, chunk: int = 4096):
     """A mapInArrow function that calls fn with the values of each row and gathers the tuples that it yields."""
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from registra.llm.common import WORD, cut, free, frozen, parts_for
+from registra.llm.common import WORD, cut, free, frozen, numbered, parts_for
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -63,9 +63,10 @@ def size_class(size: Column) -> Column:
     return F.when(size < 8, size).otherwise(top * 8 + F.floor(size / F.pow(F.lit(2.0), top - 3)) - 8)
 
 
-def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies for every row."""
-    sized = frozen(docs, "doc_id", "text", "source").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, bucket_rows: int = BUCKET_ROWS, row: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken and copies for every row, and the column ``row`` that tells rows apart, where one is named."""
+    own = [row] if row else []
+    sized = frozen(docs, "doc_id", "text", "source", *own).select(*own, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
     rows = docs.count()
     sized = cut(sized, "sizes", rows)
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
@@ -76,18 +77,19 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, b
     dealt = sized.withColumn("_k", key).withColumn("_d", draw).withColumn("_c", size_class(F.col("size")).cast("int")).withColumn("_b", F.floor(F.col("_d") * buckets).cast("int")).drop("source")
     before = Window.partitionBy("_k").orderBy("_c", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("_k", "_c", "_b").count().withColumn("_o", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count").join(totals, "_k")
-    place = F.row_number().over(Window.partitionBy("_k", "_c", "_b").orderBy("_d", "doc_id", "size"))
+    place = F.row_number().over(Window.partitionBy("_k", "_c", "_b").orderBy("_d", "doc_id", "size", *own))
     ranked = dealt.withColumn("_r", place).join(offsets, ["_k", "_c", "_b"])
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = unit(F.concat(F.lit(f"{seed}#"), F.coalesce("source", F.lit("null"))))
     upto = F.col("_o") + F.col("_r")
     copies = (F.floor(upto * step + offset) - F.floor((upto - 1) * step + offset)).cast("long")
-    return ranked.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return ranked.withColumn("copies", copies).select(*own, "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    taken = cut(mix(docs, seed).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")), "copies", docs.count())
+    tagged, row = numbered(docs, "rows")
+    taken = cut(mix(tagged, seed, row=row).where("copies > 0").select(F.col(row).alias("_at"), F.col("copies").cast("int").alias("_copies")), "copies", tagged.count())
     (copy,) = free(docs, "_copy")
-    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return both.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["_copies"])).alias(copy)).drop(copy)
+    both = tagged.join(taken, tagged[row] == taken["_at"])
+    return both.select(*[tagged[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["_copies"])).alias(copy)).drop(copy)

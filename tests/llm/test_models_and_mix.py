@@ -123,3 +123,12 @@ def test_mix_edges(edge, empty):
     assert all(r["taken"] <= 2 * r["size"] for r in rows) and all(r["size"] == 0 for r in rows if r["doc_id"] in (3, 4, 5))
     nothing = mixing.mix(edge.where("doc_id in (3, 4, 5)")).collect()
     assert all(r["target"] == 0 and r["taken"] == 0 for r in nothing)
+
+
+def test_mixed_documents_take_each_row_as_often_as_the_mix_does(spark):
+    rows = [(k, f"{s}{i} " + "w " * 9, s) for s, n in (("a", 10), ("b", 200), ("c", 10)) for i in range(n) for k in (None if i % 2 else 7,)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    target, got = water({"a": 100, "b": 2000, "c": 100}), {}
+    for r in mixing.mixed_documents(docs).collect():
+        got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
+    assert set(got) == {"a", "b", "c"} and all(abs(got[s] - target[s]) <= 10 for s in got)
