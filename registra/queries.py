@@ -234,6 +234,7 @@ plain("group_single_key", "SELECT account_key, CAST(sum(amount_kt) AS BIGINT) AS
 plain("group_date_pred", "SELECT l_linenumber, CAST(count(*) AS BIGINT) AS n FROM {lineitem} WHERE CAST(l_shipdate AS DATE) >= DATE '1997-06-01' GROUP BY l_linenumber", "lineitem")
 plain("group_timestamp_pred", "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM {events} WHERE ts < TIMESTAMP '2024-01-08 00:00:00' GROUP BY event_type", "events")
 plain("group_ordered_input", "SELECT CAST(floor(event_id / 100) AS BIGINT) AS bucket, CAST(count(*) AS BIGINT) AS n, CAST(sum(user_id) AS BIGINT) AS total FROM {events} WHERE event_id <= 5000 GROUP BY CAST(floor(event_id / 100) AS BIGINT)", "events")
+plain("group_ordered_whole", "SELECT CAST(floor(event_id / 100) AS BIGINT) AS bucket, CAST(count(*) AS BIGINT) AS n, CAST(sum(user_id) AS BIGINT) AS total FROM {events} GROUP BY CAST(floor(event_id / 100) AS BIGINT)", "events")
 plain("group_card_low", "SELECT period_key, CAST(sum(amount_dt) AS BIGINT) AS total FROM {f} GROUP BY period_key")
 plain("group_card_mid", "SELECT account_key, period_key, CAST(sum(amount_dt) AS BIGINT) AS total FROM {f} GROUP BY account_key, period_key")
 plain("group_card_high", "SELECT company_key, account_key, period_key, CAST(sum(amount_dt) AS BIGINT) AS total FROM {f} GROUP BY company_key, account_key, period_key")

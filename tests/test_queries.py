@@ -25,3 +25,8 @@ def test_conformance_has_no_failure(spark):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["year", "account_group", "company_key", "total_amt"]
     assert entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+def test_whole_ordered_input_is_grouped(spark):
+    sf = "/root/testdata/sf0.01"
+    assert sum(r["n"] for r in engine.QUERIES["group_ordered_whole"](spark, sf).collect()) == spark.read.parquet(f"{sf}/events.parquet").count()
