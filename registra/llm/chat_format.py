@@ -2,7 +2,12 @@
 
 A layout is known by the hash of its nested field paths (names and array marks, sorted). The hash selects a declarative
 mapping, which turns rows, prompt/response pairs, instruction records or message lists into canonical turns: an array of
-(role, text). One template then formats the turns and marks, as code point spans, what a loss may count.
+(role, text). One template then formats the turns and marks what a loss may count.
+
+The mask is run lengths in code points, one entry (skip, take, rest) for each turn: ``skip`` do not count, ``take`` do, ``rest``
+do not. They add up to the length of the formatted text, and are found for each turn by itself. A turn ends where the end
+mark stands, which no escaped text can hold, so the text under the mask is cut from pieces and a conversation of any
+number of turns takes time in proportion to its length.
 
 Control strings inside texts and roles are escaped reversibly: a backslash goes after the first character, and one more
 where there were some already, so ``[INST]`` becomes ``[\\INST]`` and ``[\\INST]`` becomes ``[\\\\INST]``.
@@ -11,7 +16,8 @@ Defined results
   * null text and null role count as empty; conversations with a null id form one conversation;
   * turns go by turn number, nulls first, then by role and text, so ties and repeated rows have one order;
   * an empty table gives no rows; extra columns change nothing, since only a mapping's own paths are hashed;
-  * a layout whose paths match no mapping is refused with its paths.
+  * a layout whose paths match no mapping is refused with its paths, and so is a wide table that two mappings fit, neither of
+    which holds all paths of the other.
 """
 
 from __future__ import annotations
@@ -75,11 +81,13 @@ def mapping_for(paths: list[str]) -> Mapping:
     """The mapping of these paths' hash; where a table has extra columns, that of the largest subset that is known."""
     if found := REGISTRY.get(fingerprint(paths)):
         return found
-    for m in sorted(MAPPINGS, key=lambda m: -len(m.paths)):
-        own = [p for p in paths if p in m.paths]
-        if REGISTRY.get(fingerprint(own)) is m:
-            return m
-    raise ValueError(f"no mapping for the layout {sorted(paths)}")
+    fit = [m for m in MAPPINGS if {*m.paths} <= {*paths}]
+    widest = [m for m in fit if not any({*m.paths} < {*other.paths} for other in fit)]
+    if len(widest) > 1:
+        raise ValueError(f"more than one mapping fits the layout {sorted(paths)}: {', '.join(m.name for m in widest)}")
+    if not widest:
+        raise ValueError(f"no mapping for the layout {sorted(paths)}")
+    return widest[0]
 
 
 def escape(text: Column) -> Column:
@@ -147,32 +155,34 @@ def canonical_json(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def format_turns(df: DataFrame, turns: str = "turns", loss_role: str = "assistant") -> DataFrame:
-    """Adds formatted, and loss_spans: an array of (start, length) in code points that cover the escaped texts of ``loss_role``."""
+    """Adds formatted, and loss_mask: (skip, take, rest) in code points for each turn, which takes the escaped texts of ``loss_role``."""
     # A role ends at the first line break, so those inside it are escaped too, and so are the backslashes that mark them.
     role = lambda t: F.replace(F.replace(escape(t["role"]), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
     pieces = F.transform(turns, lambda t: F.struct(F.concat(F.lit(START), role(t), F.lit(MID)).alias("head"), escape(t["text"]).alias("body"), (t["role"] == loss_role).alias("loss")))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + len(END)).alias("at"),
-        F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    run = lambda skip, take, rest: F.struct(skip.cast("int").alias("skip"), take.cast("int").alias("take"), rest.cast("int").alias("rest"))
+    size = lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END)
     return (
         df.withColumn("_p", pieces)
         .withColumn("formatted", F.array_join(F.transform("_p", lambda p: F.concat(p["head"], p["body"], F.lit(END))), ""))
-        .withColumn("loss_spans", F.aggregate("_p", zero, step, lambda acc: acc["spans"]))
+        .withColumn("loss_mask", F.transform("_p", lambda p: F.when(p["loss"], run(F.length(p["head"]), F.length(p["body"]), F.lit(len(END)))).otherwise(run(size(p), F.lit(0), F.lit(0)))))
         .drop("_p")
     )
 
 
+def pieces_of(formatted: Column) -> Column:
+    """What stands before each end mark."""
+    return F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda x: F.startswith(x, F.lit(START)))
+
+
 def read_back(formatted: Column) -> Column:
     """The turns that a formatted conversation holds."""
-    pieces = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda x: F.startswith(x, F.lit(START)))
     at = lambda x: F.instr(x, "\n")
     role = lambda x: F.substring(x, F.lit(len(START) + 1), at(x) - 1 - len(START))
     # "\n" first, where its backslash is not itself escaped, then the doubled backslashes.
     plain = lambda r: F.array_join(F.transform(F.split(r, r"\\\\"), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
-    return F.transform(pieces, lambda x: F.struct(unescape(plain(role(x))).alias("role"), unescape(F.substring(x, at(x) + 1, F.length(x))).alias("text")))
+    return F.transform(pieces_of(formatted), lambda x: F.struct(unescape(plain(role(x))).alias("role"), unescape(F.substring(x, at(x) + 1, F.length(x))).alias("text")))
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+def loss_text(formatted: Column, mask: Column) -> Column:
+    """What the mask takes, unescaped and joined."""
+    return F.array_join(F.zip_with(pieces_of(formatted), mask, lambda x, m: F.when(m["take"] > 0, unescape(F.substring(x, m["skip"] + 1, m["take"]))).otherwise(F.lit(""))), "")

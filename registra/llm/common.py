@@ -47,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="registra-"))
         path = context._jsc.sc().getCheckpointDir().get()
     return path.rstrip("/")
@@ -99,26 +101,18 @@ def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return cut(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
-def per_row(fn: Callable[..., Iterable], columns: list[str], schema: pa.Schema, chunk: int = 4096):
-    """A mapInArrow function that calls fn with the values of each row and gathers the tuples that it yields."""
+def join_first(df: DataFrame, key: str, payload: Column, order: Column, hot: int) -> DataFrame:
+    """The rows of ``df`` whose key has rows of at least two different ``order``, with ``first``: the smallest payload of the key,
+    which must start with the fields of ``order``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in columns]
-            for i in range(batch.num_rows):
-                rows.extend(fn(*[c[i].as_py() for c in cols]))
-                if len(rows) >= chunk:
-                    yield packed(rows, schema)
-                    rows = []
-        if rows:
-            yield packed(rows, schema)
-
-    return run
-
-
-def packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    Minima are aggregated before they are shuffled. Keys that more than one in ``hot`` of all rows have, fewer than ``hot``
+    keys, are joined by broadcast, so the rows of a hot key never meet in one task; the rest are joined by a shuffle.
+    """
+    firsts = df.groupBy(key).agg(F.min(payload).alias("first"), F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo != _hi").drop("_lo", "_hi")
+    firsts = cut(firsts, "firsts")
+    least = df.count() // hot
+    many, few = F.broadcast(firsts.where(F.col("_n") > least).drop("_n")), firsts.where(F.col("_n") <= least).drop("_n")
+    return df.join(many, key).unionByName(df.join(many.select(key), key, "left_anti").join(few, key))
 
 
 def parts_for(rows: int, each: int, least: int = 1) -> int:

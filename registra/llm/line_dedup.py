@@ -1,19 +1,27 @@
 """Line deduplication by winnowing over line hashes, in DataFrame functions only.
 
-A document is the sequence of its lines that are not blank, each hashed after trimming. Over every window of ``window``
-consecutive lines the smallest hash (the rightmost, on ties) is the window's fingerprint, so any run of at least ``window``
-lines that occurs twice has a fingerprint in common at the same place. A line of ``long_words`` words or more is a window of
-its own. Fingerprints that occur at one position only are dropped; for the others the join is by position: each window
-around a shared fingerprint is compared, by the 128-bit digest of its lines, with the earliest equal window. Extending a
-match both ways means that every window on either side is compared like this, and that windows which touch form one run.
-Lines of runs that occurred earlier, by (doc_id, line), are deleted; the earliest run stays.
+A document is the sequence of its lines that are not blank, trimmed, each with a 128-bit hash and its length in characters.
+A window is a shortest run of consecutive lines that holds ``chars`` characters, whether it is grown forwards from its first
+line or backwards from its last; one long line is a window by itself. Out of every forward window the line of the smallest
+hash (the rightmost, on ties) is selected as a fingerprint, so any repeated run of ``chars`` characters or more has selected
+a fingerprint at the same place in both its occurrences. Only fingerprints leave a document, each with its position and the
+few neighbours that a window around it can reach.
+
+1. Fingerprints meet by hash: each later position is joined to the earliest one. The seed is the pair of equal lines; it is
+   extended left and right over both neighbourhoods while lines are equal. A match of ``chars`` characters is a repeated run.
+2. A window around a seed that this match does not hold may still repeat a text in between. Such windows, and no others,
+   are compared by digest with the earliest of their kind.
+3. Runs are merged, and the lines of later occurrences, by (doc_id, line), are deleted. The earliest run stays.
+
+So a line goes exactly if it lies in a window that has occurred before. Keys that very many positions share are joined by
+broadcast (there are at most ``HOT`` of them), all others by a shuffle.
 
 Defined results
   * null and empty texts have no lines and stay as they are (null stays null);
   * blank lines are neither matched nor deleted, and matching looks past them;
   * a null id comes before all ids; of rows repeated under one id, or without one, each loses only lines of its own: rows with
     the same text are one document, and different texts are put in order by a hash of the text;
-  * documents that lose every line stay, with what blank lines they had; an empty table gives no rows.
+  * documents that lose every line stay, with what blank lines they had; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,63 +29,113 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.common import cut, frozen
+from registra.llm.common import cut, frozen, join_first
 
-WINDOW = 2
-LONG_WORDS = 10
+#: Characters that a run must have to count as repeated.
+CHARS = 30
+#: A key is hot if more than one in ``HOT`` of all rows have it, so there are fewer than ``HOT`` hot keys.
+HOT = 1_000
+BLANKS = " \t\r\f\u000b"
+LINE = "struct<h:bigint,g:bigint>"
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def windows(docs: DataFrame, window: int, long_words: int) -> DataFrame:
-    """One row per window: doc_id, tid (a hash of the text), at (place of its first line among the lines that are not blank), len, fp (its fingerprint), fp_at, key (digest of its lines)."""
-    seq = F.filter(F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(" \t\r\f\u000b"))), lambda x: F.length(x) > 0)
-    hashed = docs.select(
-        "doc_id",
-        "tid",
-        F.transform(seq, lambda x: F.xxhash64(x)).alias("h"),
-        F.transform(seq, lambda x: F.xxhash64(F.lit("second"), x)).alias("g"),
-        F.transform(seq, lambda x: F.size(F.split(x, "[ \\t]+")) >= long_words).alias("long"),
+def total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
+
+
+def reach(size: Column, sizes: Column, chars: int) -> Column:
+    """How many neighbours a window around a line can hold on one side; ``sizes`` go outwards. A neighbour counts if the lines
+    before it, with or without the line itself, leave a window open."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("held"), F.lit(True).alias("on"))
+
+    def step(a: Column, x: Column) -> Column:
+        on = a["on"] & ((a["held"] + x < chars) | (a["held"] + size < chars))
+        return F.struct((a["n"] + on.cast("int")).alias("n"), (a["held"] + x).alias("held"), on.alias("on"))
+
+    return F.aggregate(sizes, zero, step, lambda a: a["n"])
+
+
+def fingerprints(docs: DataFrame, chars: int) -> DataFrame:
+    """One row per selected line: doc_id, tid (a hash of the text), at (its place among the lines that are not blank), fp, size, and its neighbours (lefts and rights, lsizes and rsizes), nearest first."""
+    seq = F.filter(F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: F.length(x) > 0)
+    line = lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit("second"), x).alias("g"))
+    hashed = docs.select("doc_id", "tid", seq.alias("_s")).where(F.size("_s") > 0)
+    hashed = hashed.select("doc_id", "tid", F.transform("_s", line).alias("d"), F.transform("_s", lambda x: F.length(x)).alias("c"))
+    n = F.size("c")
+    # Lines are at least one character long, so a window has at most ``chars`` of them.
+    grown = lambda sizes: F.aggregate(
+        sizes,
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("held")),
+        lambda a, x: F.when(a["held"] >= chars, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["held"] + x).alias("held"))),
+        lambda a: F.when(a["held"] >= chars, a["n"]).otherwise(F.lit(0)),
     )
-    # The window's digest is a hash of both hash sequences, 128 bits in all.
-    one = lambda i, n: F.struct(
-        i.alias("at"),
-        n.alias("len"),
-        F.slice("h", i + 1, n).alias("hs"),
-        F.xxhash64(F.slice("h", i + 1, n)).alias("k1"),
-        F.xxhash64(F.slice("g", i + 1, n)).alias("k2"),
+    length = lambda i: F.when(F.get("c", i) >= chars, F.lit(1)).otherwise(grown(F.slice("c", i + 1, F.lit(chars))))
+    windows = F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), length(i).alias("m"))), lambda w: w["m"] > 0)
+
+    def lowest(w: Column) -> Column:
+        hs = F.reverse(F.slice("d", w["i"] + 1, w["m"]))
+        return F.when(w["m"] == 1, w["i"]).otherwise(w["i"] + w["m"] - F.array_position(hs, F.array_min(hs)).cast("int"))
+
+    picked = hashed.select("doc_id", "tid", "d", "c", F.explode(F.array_distinct(F.transform(windows, lowest))).alias("at"))
+    left = lambda x: F.reverse(F.slice(x, F.greatest(F.col("at") - chars, F.lit(0)) + 1, F.least(F.col("at"), F.lit(chars))))
+    right = lambda x: F.slice(x, F.col("at") + 2, F.lit(chars))
+    near = picked.select("doc_id", "tid", "at", F.get("d", "at").alias("fp"), F.get("c", "at").alias("size"), "d", left("c").alias("_lc"), right("c").alias("_rc"))
+    near = near.withColumn("_l", reach(F.col("size"), F.col("_lc"), chars)).withColumn("_r", reach(F.col("size"), F.col("_rc"), chars))
+    take = lambda x, k: F.slice(x, F.lit(1), F.col(k))
+    return near.select("doc_id", "tid", "at", "fp", "size", take(left("d"), "_l").alias("lefts"), take(right("d"), "_r").alias("rights"), take("_lc", "_l").alias("lsizes"), take("_rc", "_r").alias("rsizes"))
+
+
+def common(a: Column, b: Column) -> Column:
+    """How many leading elements two arrays share."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+    return F.when(at == 0, F.least(F.size(a), F.size(b))).otherwise(at - 1)
+
+
+def open_windows(chars: int) -> Column:
+    """The windows around a seed, as (left, right, digest), that reach beyond what has matched (columns l and r)."""
+    cut_left, cut_right = (lambda k: F.slice("lsizes", F.lit(1), k)), (lambda k: F.slice("rsizes", F.lit(1), k))
+    cells = F.flatten(
+        F.transform(F.sequence(F.lit(0), F.size("lefts")), lambda a: F.transform(F.sequence(F.lit(0), F.size("rights")), lambda b: F.struct(a.alias("a"), b.alias("b"), (total(cut_left(a)) + F.col("size") + total(cut_right(b))).alias("held"))))
     )
-    n = F.size("h")
-    full = F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), lambda i: one(i, F.lit(window)))).otherwise(F.array().cast("array<struct<at:int,len:int,hs:array<bigint>,k1:bigint,k2:bigint>>"))
-    single = F.transform(F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get("long", i)), lambda i: one(i, F.lit(1)))
-    flat = hashed.where(n > 0).select("doc_id", "tid", F.explode(F.concat(full, single) if window > 1 else full).alias("w")).select("doc_id", "tid", "w.*")
-    low = F.array_min("hs")
-    last = F.col("len") - F.array_position(F.reverse("hs"), low).cast("int")
-    return flat.select("doc_id", "tid", "at", "len", low.alias("fp"), (F.col("at") + last).alias("fp_at"), "k1", "k2")
+    edge = lambda sizes, k: F.when(k > 0, F.get(sizes, k - 1)).otherwise(F.col("size"))
+    is_window = lambda w: (w["held"] >= chars) & ((w["held"] - edge("lsizes", w["a"]) < chars) | (w["held"] - edge("rsizes", w["b"]) < chars))
+    beyond = lambda w: (w["a"] > F.col("l")) | (w["b"] > F.col("r"))
+    hs = lambda w: F.concat(F.reverse(F.slice("lefts", F.lit(1), w["a"])), F.array("fp"), F.slice("rights", F.lit(1), w["b"]))
+    digest = lambda w: F.struct(F.xxhash64(hs(w)).alias("h"), F.xxhash64(F.lit("second"), hs(w)).alias("g"))
+    return F.transform(F.filter(cells, lambda w: is_window(w) & beyond(w)), lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), digest(w).alias("key")))
+
 
+def repeated_runs(docs: DataFrame, chars: int) -> DataFrame:
+    """(doc_id, tid, lo, hi) of later occurrences."""
+    place = F.struct("doc_id", "tid", "at")
+    found = cut(fingerprints(docs, chars), "fingerprints")
+    met = join_first(found, "fp", F.struct("doc_id", "tid", "at", "lefts", "rights"), place, HOT)
+    l, r = common(F.col("lefts"), F.col("first.lefts")), common(F.col("rights"), F.col("first.rights"))  # noqa: E741
+    met = met.withColumn("l", l).withColumn("r", r)
+    held = total(F.slice("lsizes", F.lit(1), F.col("l"))) + F.col("size") + total(F.slice("rsizes", F.lit(1), F.col("r")))
+    later = place > F.struct("first.doc_id", "first.tid", "first.at")
+    runs = met.where(later & (held >= chars)).select("doc_id", "tid", (F.col("at") - F.col("l")).alias("lo"), (F.col("at") + F.col("r")).alias("hi"))
+    more = met.where((F.size("lefts") > F.col("l")) | (F.size("rights") > F.col("r"))).select("doc_id", "tid", "at", F.explode(open_windows(chars)).alias("w"))
+    more = cut(more.select("doc_id", "tid", (F.col("at") - F.col("w.a")).alias("at"), (F.col("w.a") + F.col("w.b")).alias("more"), F.col("w.key").alias("key")).distinct(), "open")
+    again = join_first(more, "key", place, place, HOT).where(place > F.col("first")).select("doc_id", "tid", F.col("at").alias("lo"), (F.col("at") + F.col("more")).alias("hi"))
+    return runs.union(again)
 
-def line_dedup(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+
+def line_dedup(docs: DataFrame, chars: int = CHARS) -> DataFrame:
     """doc_id, text without the lines of later repeated runs, n_lines (not blank) and n_dropped. Rows are those of ``docs``."""
     base = frozen(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tid", F.xxhash64("text"))
-    found = cut(windows(base, window, long_words), "windows")
-    # A fingerprint is a position; two windows may select the same one.
-    shared = found.groupBy("fp").agg(F.min(F.struct("doc_id", "tid", "fp_at")).alias("lo"), F.max(F.struct("doc_id", "tid", "fp_at")).alias("hi")).where("lo != hi").select("fp")
-    candidates = found.join(shared, "fp", "left_semi")
-    first = candidates.groupBy("len", "k1", "k2").agg(F.min(F.struct("doc_id", "tid", "at")).alias("first"), F.max(F.struct("doc_id", "tid", "at")).alias("last")).where("first != last").drop("last")
-    later = candidates.join(first, ["len", "k1", "k2"]).where(F.struct("doc_id", "tid", "at") > F.col("first"))
-    lost = later.select("doc_id", "tid", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)).alias("i")).distinct().groupBy("doc_id", "tid").agg(F.collect_list("i").alias("gone")).withColumnsRenamed({"doc_id": "_id", "tid": "_tid"})
-    out = base.join(lost, F.expr("doc_id <=> _id and tid = _tid"), "left")
-    lines = lines_of(F.col("text"))
-    places = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.length(F.btrim(F.get("_lines", i), F.lit(" \t\r\f\u000b"))) > 0)
-    drop = F.transform(F.coalesce("gone", F.array().cast("array<int>")), lambda i: F.get("_places", i))
+    spans = repeated_runs(base, chars).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans")).withColumnsRenamed({"doc_id": "_id", "tid": "_tid"})
+    merged = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["lo"], s["hi"]))))
+    out = base.join(spans.select("_id", "_tid", merged.alias("gone")), F.expr("doc_id <=> _id and tid = _tid"), "left")
+    out = out.withColumn("_lines", lines_of(F.col("text")))
+    places = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.length(F.btrim(F.get("_lines", i), F.lit(BLANKS))) > 0)
+    out = out.withColumn("_places", F.when(F.col("text").isNotNull(), places))
+    drop = F.transform("gone", lambda i: F.get("_places", i))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), drop)
     clean = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    return (
-        out.withColumn("_lines", lines)
-        .withColumn("_places", places)
-        .select("doc_id", clean.alias("text"), F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
-        .withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-        .withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("long")))
-    )
+    count = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return out.select("doc_id", clean.alias("text"), count("_places").alias("n_lines"), count("gone").alias("n_dropped"))

@@ -20,14 +20,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that is not blank is a run of its own, however short: all its later repeats go."""
-    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"), window=1)
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"), chars=1)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = spark.createDataFrame([(-1, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    control = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), control.alias("text"))
     turns = chat_format.canonical(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
-    done = chat_format.format_turns(turns).withColumn("_t", chat_format.read_back(F.col("formatted"))).withColumn("_l", chat_format.loss_text(F.col("formatted"), F.col("loss_spans")))
+    done = chat_format.format_turns(turns).withColumn("_t", chat_format.read_back(F.col("formatted"))).withColumn("_l", chat_format.loss_text(F.col("formatted"), F.col("loss_mask")))
     flat = F.array_join(F.transform("_t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return done.select("conv_id", F.size("_t").cast("long").alias("n_turns"), sha(flat).alias("turns_sha256"), F.length("_l").cast("long").alias("loss_chars"), sha(F.col("_l")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
@@ -62,4 +63,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op2_line_dedup_single, op3_chat_format, op4_sharding, op5_ngram_join, op6_decontamination, op7_quality, op8_toxicity, op9_language_id, op10_mixing)}
-SQL = {"op1_exact_dedup": sql.EXACT_DEDUP, "op2_line_dedup": sql.line_dedup(line_dedup.WINDOW, line_dedup.LONG_WORDS), "op2_line_dedup_single": sql.line_dedup(1, line_dedup.LONG_WORDS), "op3_chat_format": sql.CHAT_FORMAT, "op5_ngram_join": sql.NGRAM_JOIN, "op6_decontamination": sql.decontamination(decontam.WINDOW), "op10_mixing": sql.MIXING}
+SQL = {"op1_exact_dedup": sql.EXACT_DEDUP, "op2_line_dedup": sql.line_dedup(line_dedup.CHARS), "op2_line_dedup_single": sql.line_dedup(1), "op3_chat_format": sql.CHAT_FORMAT, "op5_ngram_join": sql.NGRAM_JOIN, "op6_decontamination": sql.decontamination(decontam.WINDOW), "op10_mixing": sql.MIXING}

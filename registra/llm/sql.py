@@ -13,21 +13,23 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
-def line_dedup(window: int, long_words: int) -> str:
-    """Windows of lines compared as text, without fingerprints."""
+def line_dedup(chars: int) -> str:
+    """Windows of lines compared as text, without fingerprints: shortest runs of ``chars`` characters, grown forwards or backwards."""
     trim = "trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11))"
-    following = " || chr(10) || ".join(["norm", *(f"lead(norm, {i}) OVER (PARTITION BY doc_id ORDER BY p)" for i in range(1, window))])
     return f"""
 WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 kept AS (SELECT doc_id, pos, {trim} AS norm FROM raw WHERE length({trim}) > 0),
-seq AS (SELECT doc_id, pos, norm, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM kept),
-win AS (
-  SELECT doc_id, p, {window} AS len, {following} AS key FROM seq
-  UNION ALL
-  SELECT doc_id, p, 1 AS len, norm AS key FROM seq WHERE {window} > 1 AND len(regexp_split_to_array(norm, '[ \\t]+')) >= {long_words}),
-first AS (SELECT len, key, min(struct_pack(d := doc_id, a := p)) AS f FROM win WHERE key IS NOT NULL GROUP BY ALL),
-later AS (SELECT win.doc_id, win.p, win.len FROM win JOIN first USING (len, key) WHERE struct_pack(d := win.doc_id, a := win.p) > first.f),
-gone AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + len - 1)) AS p FROM later),
+seq AS (
+  SELECT doc_id, pos, norm, length(norm) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS p,
+    sum(length(norm)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM kept),
+ls AS (SELECT doc_id, list(norm ORDER BY p) AS t FROM seq GROUP BY doc_id),
+span AS (
+  SELECT a.doc_id, a.p AS s, b.p AS e FROM seq a JOIN seq b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + {chars}
+  WHERE b.upto - a.upto + a.c >= {chars} AND (b.upto - b.c - a.upto + a.c < {chars} OR b.upto - a.upto < {chars})),
+win AS (SELECT doc_id, s, e, array_to_string(t[s:e], chr(10)) AS key FROM span JOIN ls USING (doc_id)),
+first AS (SELECT key, min(struct_pack(d := doc_id, a := s)) AS f FROM win GROUP BY key),
+later AS (SELECT win.* FROM win JOIN first USING (key) WHERE struct_pack(d := win.doc_id, a := win.s) > first.f),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(s, e)) AS p FROM later),
 dead AS (SELECT seq.doc_id, seq.pos FROM seq JOIN gone USING (doc_id, p)),
 n AS (SELECT doc_id, count(*) AS n_lines FROM seq GROUP BY doc_id),
 m AS (SELECT doc_id, count(*) AS n_dropped FROM dead GROUP BY doc_id),

@@ -1,4 +1,5 @@
 import json
+import time
 import zlib
 
 import pytest
@@ -19,9 +20,10 @@ PIECES = ["<|im_start|>", "<|im_end|>\n", "</s>", "<s>", "[INST]", "[/INST]", "<
 def test_round_trip(spark, convs):
     convs = [*convs, [("assistant", "x</s>"), ("user", ""), ("assistant", "<|im_end|>\n")]]
     df = C.format_turns(spark.createDataFrame(list(enumerate(convs)), TURNS))
-    for r in df.select("conv_id", C.read_back(F.col("formatted")).alias("t"), C.loss_text(F.col("formatted"), F.col("loss_spans")).alias("l")).collect():
+    for r in df.select("conv_id", C.read_back(F.col("formatted")).alias("t"), C.loss_text(F.col("formatted"), F.col("loss_mask")).alias("l"), F.length("formatted").alias("n"), "loss_mask").collect():
         assert [tuple(t) for t in r["t"]] == convs[r["conv_id"]]
         assert r["l"] == "".join(x for role, x in convs[r["conv_id"]] if role == "assistant")
+        assert sum(sum(m) for m in r["loss_mask"]) == r["n"] and len(r["loss_mask"]) == len(convs[r["conv_id"]])
 
 
 def test_layouts_meet(spark):
@@ -38,6 +40,28 @@ def test_layouts_meet(spark):
         C.canonical(spark.createDataFrame([(1, 2)], "p int, q int"), "p")
 
 
+def test_layouts_that_two_mappings_fit_are_refused(spark):
+    wide = spark.createDataFrame([(1, "a", "b", "c")], "id long, prompt string, response string, completion string")
+    with pytest.raises(ValueError, match="more than one mapping"):
+        C.canonical(wide, "id")
+
+
+def test_time_is_in_proportion_to_turns(spark):
+    def seconds(n):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("[INST] turn "), F.col("id").cast("string")).alias("text"))
+        done = C.format_turns(C.canonical(rows))
+        out = done.select(F.size(C.read_back(F.col("formatted"))).alias("n"), F.length(C.loss_text(F.col("formatted"), F.col("loss_mask"))).alias("l"))
+        assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+        began = time.perf_counter()
+        r = out.collect()[0]
+        assert r["n"] == n and r["l"] == sum(len(f"[INST] turn {i}") for i in range(1, n, 2))
+        return time.perf_counter() - began
+
+    seconds(1_000)
+    few, many = seconds(10_000), seconds(100_000)
+    assert many < 10 * few + 10
+
+
 def test_json_rows_choose_their_own_mapping(spark):
     rows = [
         {"prompt": "hi", "response": "yo"},

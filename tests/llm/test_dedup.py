@@ -54,15 +54,15 @@ def test_filter_never_misses():
     assert kept.may_hold(rows[:100]).all() and kept.may_hold(rows[100:]).sum() < 10
 
 
-def brute_lines(rows, window, long_words):
+def brute_lines(rows, chars):
     first, wins = {}, []
     for i, text in rows:
-        lines = [(p, x.strip(" \t\r\f\v")) for p, x in enumerate((text or "").split("\n")) if x.strip(" \t\r\f\v")]
-        for at in range(len(lines)):
-            if at + window <= len(lines):
-                wins.append((i, at, tuple(x for _, x in lines[at : at + window])))
-            if window > 1 and len(lines[at][1].split()) >= long_words:
-                wins.append((i, at, (lines[at][1],)))
+        lines = [x.strip(" \t\r\f\v") for x in (text or "").split("\n") if x.strip(" \t\r\f\v")]
+        for s in range(len(lines)):
+            for e in range(s, len(lines)):
+                held = sum(map(len, lines[s : e + 1]))
+                if held >= chars and (held - len(lines[e]) < chars or held - len(lines[s]) < chars):
+                    wins.append((i, s, tuple(lines[s : e + 1])))
     for i, at, key in wins:
         first[key] = min(first.get(key, (i, at)), (i, at))
     gone = {(i, at + k) for i, at, key in wins if (i, at) > first[key] for k in range(len(key))}
@@ -80,16 +80,36 @@ def brute_lines(rows, window, long_words):
             else:
                 kept.append(x)
         out.append((i, "\n".join(kept)))
-    return sorted(out)
-
-
-@pytest.mark.parametrize("window", [1, 2, 3, 4])
-def test_lines_against_brute_force(spark, window):
-    rng = random.Random(window)
-    pool = [f"line {i} " + "w " * (i % 14) for i in range(12)] + ["", "  "]
-    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(12)))) for i in range(120)] + [(200, None), (201, "")]
-    got = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window, 10)
-    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted(brute_lines(rows, window, 10), key=lambda x: x[0])
+    return sorted(out, key=lambda x: x[0])
+
+
+@pytest.mark.parametrize("chars", [1, 6, 15, 40])
+@pytest.mark.parametrize("hot", [1_000, 4])
+def test_lines_against_brute_force(spark, monkeypatch, chars, hot):
+    monkeypatch.setattr(L, "HOT", hot)
+    rng = random.Random(chars)
+    pool = [f"{i} " + "w" * (3 * i % 17) for i in range(12)] + ["", "  ", "a", "b", "a"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(14)))) for i in range(150)] + [(200, None), (201, "")]
+    got = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chars)
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == brute_lines(rows, chars)
+
+
+def test_few_lines_are_selected_from_windows_of_several(spark):
+    """A fingerprint goes out for fewer lines than there are windows, and a window that the earliest occurrence does not hold is still found."""
+    rng = random.Random(5)
+    text = "\n".join(f"{rng.randrange(10**4):04d}" for _ in range(2_000))
+    docs = spark.createDataFrame([(1, text, 7)], "doc_id long, text string, tid long")
+    assert L.fingerprints(docs, 40).count() < 2_000 * 0.3
+    rows = [(i, t) for i, t in enumerate(["aaaa\nbbbb", "aaaa\ncccc", "aaaa\ncccc\nz", "cccc\naaaa", "x\ncccc\naaaa", "y\nbbbb\naaaa\ncccc"])]
+    got = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 8)
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == brute_lines(rows, 8)
+
+
+def test_very_long_document_of_short_lines(spark):
+    text = "\n".join(str(i) for i in range(60_000))
+    rows = [(1, text), (2, "own\n" + text)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (60_000, 0), 2: (60_001, 60_000)}
 
 
 def test_line_edges(edge, empty):
