@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,23 +94,34 @@ def free(df: DataFrame, *names: str) -> list[str]:
 
 
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written by cut() with a number of its own for each row, and that column's name. Once written, the numbers stay as they are."""
+    """``df`` with a column that tells its rows apart, and that column's name.
+
+    Rows that come straight from files have a place that stays as it is: a hash of the file's path, and the row's number in the
+    file. Others are written by cut() with a number of their own.
+    """
     (row,) = free(df, "_row")
+    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and df.inputFiles() and "_metadata" not in df.columns:
+        at = df.metadataColumn("_metadata")
+        return df.select("*", F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("at")).alias(row)), row
     return cut(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
-def join_first(df: DataFrame, key: str, payload: Column, order: Column, hot: int) -> DataFrame:
-    """The rows of ``df`` whose key has rows of at least two different ``order``, with ``first``: the smallest payload of the key,
-    which must start with the fields of ``order``.
+def join_hot(df: DataFrame, found: DataFrame, key: str, rows: int, hot: int, how: str = "inner") -> DataFrame:
+    """``df`` joined to ``found``, which has one row for each key and in ``_n`` how many of the ``rows`` rows of ``df`` have it.
 
-    Minima are aggregated before they are shuffled. Keys that more than one in ``hot`` of all rows have, fewer than ``hot``
-    keys, are joined by broadcast, so the rows of a hot key never meet in one task; the rest are joined by a shuffle.
+    Keys that more than one in ``hot`` of all rows have, fewer than ``hot`` keys, are joined by broadcast, so the rows of a hot
+    key never meet in one task; the rest are joined by a shuffle. ``how`` is inner or left.
     """
-    firsts = df.groupBy(key).agg(F.min(payload).alias("first"), F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo != _hi").drop("_lo", "_hi")
-    firsts = cut(firsts, "firsts")
-    least = df.count() // hot
-    many, few = F.broadcast(firsts.where(F.col("_n") > least).drop("_n")), firsts.where(F.col("_n") <= least).drop("_n")
-    return df.join(many, key).unionByName(df.join(many.select(key), key, "left_anti").join(few, key))
+    least = rows // hot
+    many, few = F.broadcast(found.where(F.col("_n") > least).drop("_n")), found.where(F.col("_n") <= least).drop("_n")
+    return df.join(many, key).unionByName(df.join(many.select(key), key, "left_anti").join(few, key, how))
+
+
+def join_first(df: DataFrame, key: str, payload: Column, order: Column, hot: int) -> DataFrame:
+    """The rows of ``df`` whose key has rows of at least two different ``order``, with ``first``: the smallest payload of the key,
+    which must start with the fields of ``order``. Minima are aggregated before they are shuffled."""
+    firsts = df.groupBy(key).agg(F.min(payload).alias("first"), F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    return join_hot(df, cut(firsts.where("_lo != _hi").drop("_lo", "_hi"), "firsts"), key, df.count(), hot)
 
 
 def parts_for(rows: int, each: int, least: int = 1) -> int:

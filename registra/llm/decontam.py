@@ -4,7 +4,8 @@ Patterns are windows of ``window`` consecutive words of benchmark items. The sea
 two words under it are the block. The shift table says how far the block is from the end of any pattern, so positions where
 nothing can end are skipped; where it says 0, the bucket of patterns that end with this block is compared word by word.
 Patterns are grouped by length, and are searched in groups of bounded size: only one group's tables are sent to executors at
-a time, however large the benchmark is.
+a time, however large the benchmark is. A large item's windows are dealt to several groups. Each group is one pass over the
+documents' words.
 
 Defined results
   * null texts have no words; a null item text is no item; a null item id counts as the empty string; items that share an id
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from registra.llm.common import cut, frozen
 
 WINDOW = 10
-#: Patterns whose tables executors hold at once.
-GROUP = 200_000
+#: Patterns whose tables executors hold at once, some 30 MB.
+GROUP = 100_000
 #: Bytes that count as parts of words, A-Z folded; all else cuts.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -47,7 +48,7 @@ class WuManber:
             for end in range(self.block, length + 1):
                 key = words[end - self.block : end] if self.block == 2 else words[end - 1]
                 self.shift[key] = min(self.shift.get(key, self.jump), length - end)
-            self.buckets.setdefault(key, []).append((list(words), items))
+            self.buckets.setdefault(key, []).append((words, items))
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
         """(place of the first word, items) of every occurrence."""
@@ -60,19 +61,26 @@ class WuManber:
                 at += step
                 continue
             begin = at - length
+            here = tuple(words[begin:at])
             for pattern, items in self.buckets[key]:
-                if words[begin:at] == pattern:
+                if here == pattern:
                     yield begin, items
             at += 1
 
 
-def patterns_of(items: list[tuple[str, str]], window: int) -> list[tuple[tuple[bytes, ...], str]]:
-    out = set()
-    for item, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            out.add((tuple(words[i : i + window]), item))
-    return sorted(out, key=lambda x: (len(x[0]), x))
+Pattern = tuple[tuple[bytes, ...], str]
+
+
+def windows_of(text: str, window: int, known: dict[bytes, bytes]) -> Iterator[tuple[bytes, ...]]:
+    """An item's patterns; equal words are one object, so that overlapping windows share them."""
+    words = [known.setdefault(w, w) for w in words_of(text)]
+    for i in range(max(1, len(words) - window + 1) if words else 0):
+        yield tuple(words[i : i + window])
+
+
+def patterns_of(items: list[tuple[str, str]], window: int) -> list[Pattern]:
+    known: dict[bytes, bytes] = {}
+    return sorted({(p, item) for item, text in items for p in windows_of(text, window, known)}, key=lambda x: (len(x[0]), x))
 
 
 def searchers(patterns: list[tuple[tuple[bytes, ...], str]]) -> tuple[list[WuManber], list[str]]:
@@ -104,35 +112,36 @@ def joined(spans: list[tuple[int, int]]) -> list[int]:
     return flat
 
 
-def item_groups(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in groups whose patterns are about ``size``; an item has no more windows than words, and these no more than bytes."""
-    group, held = [], 0
+def pattern_groups(benchmark: DataFrame, window: int, size: int) -> Iterator[list[Pattern]]:
+    """The patterns of all items in groups of at most ``size``; the driver holds one item and one group at a time."""
+    group: set[Pattern] = set()
+    known: dict[bytes, bytes] = {}
     for item, text in frozen(benchmark, "item_id", "text").where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.col("text").cast("string")).toLocalIterator(prefetchPartitions=False):
-        group.append((item, text))
-        held += len(text) // 2 + 1
-        if held >= size * 3:
-            yield group
-            group, held = [], 0
+        for p in windows_of(text, window, known):
+            group.add((p, item))
+            if len(group) >= size:
+                yield sorted(group, key=lambda x: (len(x[0]), x))
+                group, known = set(), {}
     if group:
-        yield group
+        yield sorted(group, key=lambda x: (len(x[0]), x))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (flat begin, end word places) and items for every row."""
     base = frozen(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     context = docs.sparkSession.sparkContext
-    groups = item_groups(benchmark, group)
+    groups = pattern_groups(benchmark, window, group)
     first = next(groups, [])
     second = next(groups, None)
     columns = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<string>"
     if second is None:
-        sent = context.broadcast(searchers(patterns_of(first, window)))
+        sent = context.broadcast(searchers(first))
         return base.mapInArrow(scanner(sent, final=True), columns)
     # Several groups: each finds its spans and items; these are merged for each row under a number that the first pass gives.
     numbered = cut(base.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = None
     while first is not None:
-        sent = context.broadcast(searchers(patterns_of(first, window)))
+        sent = context.broadcast(searchers(first))
         part = cut(numbered.mapInArrow(scanner(sent, final=False), "_row long, n_words long, spans array<int>, items array<string>"), "hits")
         found = part if found is None else found.union(part)
         first, second = second, next(groups, None)
@@ -195,7 +204,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     benchmark has several groups of patterns, each searches what the one before has kept.
     """
     context, place, kept = docs.sparkSession.sparkContext, docs.columns.index("text"), docs
-    for i, items in enumerate(item_groups(benchmark, group)):
+    for i, patterns in enumerate(pattern_groups(benchmark, window, group)):
         kept = cut(kept, "clean") if i else kept
-        kept = kept.mapInArrow(keep_clean(context.broadcast(searchers(patterns_of(items, window))), place), docs.schema)
+        kept = kept.mapInArrow(keep_clean(context.broadcast(searchers(patterns)), place), docs.schema)
     return kept

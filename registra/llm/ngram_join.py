@@ -1,35 +1,42 @@
 """N-gram Jaccard self-join by T-occurrence search with DivideSkip, for sets of five-word shingles.
 
-Documents with one shingle set are a class; one representative stands for it. Two sets of sizes a and b are linked when their
-Jaccard similarity is at least t, so they share at least ceil(t * max(a, b)) shingles (T, the required occurrence count).
+Documents with one shingle set are a class, known by the set's 128-bit digest and numbered when written; one representative
+stands for it. Two sets of sizes a and b are linked when their Jaccard similarity is at least t, so they share at least
+ceil(t * max(a, b)) shingles (T, the required occurrence count).
 
 1. Thinning. Each class posts its smallest hashes (a share of its set that leaves a slack over the prefix that t needs).
    Postings meet by hash; a class goes on only if enough of what it posted lies in lists of two or more.
-2. Index. The remaining classes post their whole sets, so list lengths are exact. A class stays while at least T of its
-   shingles lie in lists of two or more.
-3. DivideSkip. For a query of n shingles, the T - 1 longest of its lists are set aside, in one order for all queries (length,
-   then hash). The short lists that remain are merged; any partner occurs in one of them. An occurrence also says how many
-   hashes can still follow in either set, so a pair is taken only where these can reach its own required overlap.
-4. Links. In each short list every member is first checked against the most central one, the one that most of its shingles
-   share with others. A check probes all hashes of one set, those of skipped lists included, by binary search in the other.
-   Components of these links are formed; then the lists are merged again, for pairs that are still apart. Lists with many
-   members are cut into blocks, so that several tasks compare them.
-
-Nothing is capped or sampled: lists of every length take part, and all sets are whole. Texts are not shuffled, unless more than
-``BROADCAST_IDS`` classes go on after thinning: the texts that are read again are then picked by a shuffled join.
-Classes are named by 63 bits of their set's digest, and shingles by 64-bit hashes.
+2. Index. The remaining classes post their whole sets. A class stays while at least T of its shingles lie in lists of two or
+   more. These shingles are its core: whatever it shares with any other class lies there.
+3. Nodes. Classes with one core are compared with the smallest of them only: what they share is the core, so a class that is
+   linked with any of them is linked with that one. The smallest, and those not linked with it, are nodes that go on.
+4. Hubs. In each of a node's shorter lists it is checked against the most central member, the one that most of its shingles
+   share with others. Components of these links are formed.
+5. DivideSkip, for pairs that are still apart. A query is a node; candidates are nodes of larger components (or equal ones of
+   smaller name), so one of two nodes asks. Of a query's lists the L longest, L = T / (MU * log2(longest) + 1), are set aside.
+   The others, sorted by candidate, are heap-merged with skips, and candidates that occur T - L times or more are retained;
+   the long lists are then probed for each of them by binary search, which gives the exact overlap. Entries whose sizes allow
+   no link with the query are left out before the merge.
+
+Nothing is capped or sampled: lists of every length take part, and all sets are whole. Lists are cut into pieces by candidate,
+and a long list's pieces are dealt to several tasks of queries. Texts are not shuffled, unless more than ``BROADCAST_IDS``
+classes go on after thinning: the texts that are read again are then picked by a shuffled join. Shingles are 64-bit hashes.
+Thinning counts under 63 bits of the digest, where two classes that share a name can only make it keep more.
 
 Defined results
   * null texts and texts without words have an empty set, size 0, and are linked with nothing;
   * a text of one to four words is a single shingle; equal sets are linked even when the texts differ;
   * every row is a document: rows repeated under one id with one text share a component, with different texts they are linked
     by their texts only; a class that has null ids only is linked with nothing and has component_id null;
-  * an empty table gives no rows; extra columns are ignored.
+  * very long texts are hashed in stretches; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -37,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.common import HEAVY, cut, discard, free, frozen, parts_for, u64
+from registra.llm.common import HEAVY, cut, discard, free, frozen, join_first, join_hot, parts_for, u64
 from registra.llm.components import components
 from registra.llm.shingles import set_digest, shingles
 
@@ -51,7 +58,12 @@ POSTINGS = 800_000
 HELD = 3_200_000
 LONG = 64
 ENDLESS = np.iinfo(np.int32).max
+#: Entries of a list that one piece is meant for, and queries that meet them at once; pieces of one list at most.
 BLOCK = 2_048
+MOST_PIECES = 64
+#: DivideSkip's weight of a probe against a merge step.
+MU = 0.01
+HOT = 1_000
 CHUNK_POSTINGS = 400_000
 #: Classes whose counts one task adds up.
 GROUP_CLASSES = 50_000
@@ -69,25 +81,25 @@ def overlap(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
-def class_of(hashes: np.ndarray) -> int:
-    return int.from_bytes(set_digest(hashes)[:8], "big") >> 1
+def thin_name(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big") >> 1
 
 
 def set_rows(words: int):
-    """doc_id, text -> doc_id, n, cls, in one pass over the texts."""
+    """doc_id, text -> doc_id, n, dig and thin (a class's digest and its name while thinning), in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), class_of(s)) for s in (shingles(x.as_py(), words) for x in batch.column(1))]
-            n, cls = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "n", "cls"])
+            found = [(len(s), set_digest(s)) for s in (shingles(x.as_py(), words) for x in batch.column(1))]
+            n, dig = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array([thin_name(x) for x in dig], pa.int64())], names=["doc_id", "n", "dig", "thin"])
 
     return run
 
 
-def by_bucket(hs: list[np.ndarray], ids: list[int], buckets: int) -> pa.RecordBatch:
-    """Postings (hash, class) packed by bucket of the hash space."""
-    h, d = np.concatenate(hs), np.repeat(np.array(ids, np.int64), [len(x) for x in hs])
+def by_bucket(hs: list[np.ndarray], ids: list, buckets: int) -> pa.RecordBatch:
+    """Postings (hash, class, or a row of numbers that starts with it) packed by bucket of the hash space."""
+    h, d = np.concatenate(hs), np.repeat(np.array(ids, np.int64), [len(x) for x in hs], axis=0)
     b = bucket_of(h, buckets)
     order = np.argsort(b, kind="stable")
     h, d, b = h[order], d[order], b[order]
@@ -107,7 +119,7 @@ def post_texts(words: int, buckets: int, share):
         for batch in batches:
             for text in batch.column(0):
                 found = shingles(text.as_py(), words)
-                if not len(found) or (cls := class_of(found)) in seen:
+                if not len(found) or (cls := thin_name(set_digest(found))) in seen:
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
@@ -125,14 +137,14 @@ def post_texts(words: int, buckets: int, share):
 
 
 def post_sets(buckets: int):
-    """s, cls -> postings of whole sets."""
+    """A packed set and one or more numbers -> postings of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, ids, size = [], [], 0
         for batch in batches:
-            for s, cls in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for s, *own in zip(*(c if i == 0 else c.to_pylist() for i, c in enumerate(batch.columns)), strict=True):
                 hs.append(u64(s.as_py()))
-                ids.append(cls)
+                ids.append(own[0] if len(own) == 1 else own)
                 size += len(hs[-1])
                 if size >= CHUNK_POSTINGS:
                     yield by_bucket(hs, ids, buckets)
@@ -150,10 +162,11 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def distinct(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Postings by (hash, class), each once, with the lengths of their lists."""
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
+    cls = d if d.ndim == 1 else d[:, 0]
+    order = np.lexsort((cls, h))
+    h, d, cls = h[order], d[order], cls[order]
     again = np.zeros(len(h), bool)
-    again[1:] = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
+    again[1:] = (h[1:] == h[:-1]) & (cls[1:] == cls[:-1])
     h, d = h[~again], d[~again]
     at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
     length = np.diff(np.concatenate((at, [len(h)])).astype(np.int64))
@@ -223,18 +236,24 @@ class Bucket:
             yield lists(np.concatenate(self.h), np.concatenate(self.d))
 
 
-def by_lists(use, held: int):
+def by_lists(use, held: int, width: int = 1):
     """Packed postings in order of bucket -> what ``use`` makes of each bucket's lists of two or more (hash, class, length)."""
 
+    def used(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for x in pieces:
+            if len(x[0]) and (out := use(*x)) is not None:
+                yield out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, bucket = None, Bucket(held)
         for batch in batches:
             for b, h, d in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if b != at:
-                    yield from (use(*x) for x in bucket.finish() if len(x[0]))
+                    yield from used(bucket.finish())
                     at, bucket = b, Bucket(held)
-                yield from (use(*x) for x in bucket.add(u64(h.as_py()), np.frombuffer(d.as_py(), np.int64)) if len(x[0]))
-        yield from (use(*x) for x in bucket.finish() if len(x[0]))
+                d = np.frombuffer(d.as_py(), np.int64)
+                yield from used(bucket.add(u64(h.as_py()), d if width == 1 else d.reshape(-1, width)))
+        yield from used(bucket.finish())
 
     return run
 
@@ -287,108 +306,272 @@ def lists_by_class(h: np.ndarray, d: np.ndarray, full: np.ndarray) -> pa.RecordB
 
 
 def set_of_class(words: int):
-    """text -> cls, n, s: the whole set as packed sorted hashes."""
+    """text, cls, dig -> cls, n, s: the whole set as packed sorted hashes, where the text is the class's own and not another of its id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(x.as_py(), words) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["cls", "n", "s"])
+            own = [set_digest(x) == d for x, d in zip(found, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["cls", "n", "s"]).filter(pa.array(own, pa.bool_()))
 
     return run
 
 
-SHORT = "h long, cls long, n long, rest long, mid double"
+NODE = "cls long, n long, m long, core binary, h binary, len binary"
 
 
-def short_lists(num: int, den: int):
-    """A query's lists -> those that DivideSkip merges, all but its T - 1 longest. Hashes that no other class has come first in
-    the order and need no merging. ``rest`` counts the hashes from this one on, ``mid`` says how central the class is."""
+def cores(num: int, den: int):
+    """A class's pieces of the turned index -> its core, sorted, with list lengths, size m and digest; classes of less than T go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            rows = []
             for cls, n, hs, lens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                h, length = np.frombuffer(b"".join(hs.as_py()), np.int64), np.frombuffer(b"".join(lens.as_py()), np.int32)
-                merge = n - required(n, num, den) + 1 - (n - len(h))
-                if merge <= 0:
-                    continue
-                pick = np.lexsort((h, length))[:merge]
-                values = (h[pick], np.full(len(pick), cls), np.full(len(pick), n), len(h) - np.arange(len(pick)), np.full(len(pick), np.log(length).sum() / n))
-                for o, v in zip(out, values, strict=True):
+                h, length = u64(b"".join(hs.as_py())), np.frombuffer(b"".join(lens.as_py()), np.int32)
+                if len(h) >= required(n, num, den):
+                    order = np.argsort(h)
+                    h, length = h[order], length[order]
+                    rows.append((cls, n, len(h), set_digest(h), h.tobytes(), length.tobytes()))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["cls", "n", "m", "core", "h", "len"])
+
+    return run
+
+
+SHORTER = "h long, cls long, n long, mid double"
+
+
+def shorter_lists(num: int, den: int):
+    """A node -> its lists but for the T - 1 longest, any of which two linked nodes must share; ``mid`` says how central it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for cls, n, hs, lens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                h, length = np.frombuffer(hs.as_py(), np.int64), np.frombuffer(lens.as_py(), np.int32)
+                pick = np.lexsort((h, length))[: len(h) - required(n, num, den) + 1]
+                for o, v in zip(out, (h[pick], np.full(len(pick), cls), np.full(len(pick), n), np.full(len(pick), np.log(length).sum() / n)), strict=True):
                     o.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["h", "cls", "n", "rest", "mid"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["h", "cls", "n", "mid"])
 
     return run
 
 
+def shared_by(x: np.ndarray, y: np.ndarray) -> int:
+    """How many hashes two sorted arrays share: those of the shorter one are looked up in the longer by binary search."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
 def probe(num: int, den: int):
-    """Pairs with both sets -> those that reach the similarity; the smaller set's hashes are looked up in the larger by binary search."""
+    """Pairs (a, b, sizes, cores) -> those that reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = u64(x.as_py()), u64(y.as_py())
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for na, nb, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                ok.append(shared_by(u64(x.as_py()), u64(y.as_py())) >= overlap(na, nb, num, den))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    left = nodes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha"))
+    right = nodes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(probe(num, den), "a long, b long")
+
+
+def most(n, m, num: int, den: int):
+    """The largest set that one of n shingles, m of them in its core, can be linked with."""
+    return (num + den) * m // num - n
+
+
+def foreign_counts(groups: int):
+    """shared_counts() for lists that hold more than one component; the component travels as the second column of ``d``."""
+    count = shared_counts(groups)
+
+    def use(h: np.ndarray, d: np.ndarray, full: np.ndarray) -> pa.RecordBatch | None:
+        at, ends = runs_of(h)
+        mixed = (np.minimum.reduceat(d[:, 1], at) != np.maximum.reduceat(d[:, 1], at)) | (full[at] == ENDLESS)
+        pick = np.repeat(mixed, ends - at)
+        return count(h[pick], d[pick, 0], full[pick]) if pick.any() else None
+
+    return use
+
+
+def split_lists(num: int, den: int):
+    """A query -> (T, L, its L longest lists, the others)."""
+
+    def divide(n: int, h: np.ndarray, length: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
+        t = required(n, num, den)
+        skip = min(t - 1, int(t / (MU * math.log2(max(2, int(length.max()))) + 1)))
+        order = np.lexsort((h, length))
+        return t, skip, h[order[len(order) - skip :]], h[order[: len(order) - skip]]
+
+    return divide
+
+
+def pieces_of(length: np.ndarray) -> np.ndarray:
+    """To how many tasks the queries of a list are dealt; its length, which all its members know, decides."""
+    return np.clip(-(-length.astype(np.int64) // BLOCK), 1, MOST_PIECES)
+
+
+POSTING = "h long, parts int, cls long, n long, top long, comp long, size long"
+
+
+def post_nodes(num: int, den: int, queries: bool):
+    """Nodes (cls, n, m, comp, size, h, len) -> one row for each list, of all lists or of those that a query merges."""
+    divide = split_lists(num, den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for cls, n, m, comp, size, hs, lens in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                h, length = u64(hs), np.frombuffer(lens, np.int32)
+                if queries:
+                    h, keep = np.intersect1d(h, divide(n, h, length)[3], return_indices=True)[:2]
+                    length = length[keep]
+                row = (h.view(np.int64), pieces_of(length).astype(np.int32), *(np.full(len(h), x, np.int64) for x in (cls, n, most(n, m, num, den), comp, size)))
+                for o, v in zip(out, row, strict=True):
+                    o.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["h", "parts", "cls", "n", "top", "comp", "size"])
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    left = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(probe(num, den), "a long, b long")
+def candidates_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A query and a piece of one of its lists -> the piece's candidates: of larger components, and of sizes that allow a link."""
+    for batch in batches:
+        q, rng, n, top, comp, size = (batch.column(i).to_pylist() for i in range(6))
+        ids, sizes, tops, comps, lots = (batch.column(i) for i in range(6, 11))
+        of, where, found = [], [], []
+        for i in range(batch.num_rows):
+            d, dn, dtop, dcomp, dsize = (x[i].values.to_numpy() for x in (ids, sizes, tops, comps, lots))
+            ok = ((dsize > size[i]) | (dsize == size[i]) & (dcomp < comp[i])) & (dn <= top[i]) & (dtop >= n[i])
+            if ok.any():
+                of.append(q[i])
+                where.append(rng[i])
+                found.append(np.sort(d[ok]).tobytes())
+        if of:
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(where, pa.int32()), pa.array(found, pa.binary())], names=["q", "rng", "d"])
+
+
+def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
+    """(value, count) of the values that ``need`` of these ascending lists hold. The lists' heads are on a heap; if the smallest
+    head is on too few lists, enough heads are popped that no value below the next one can be on ``need`` lists, and the
+    popped lists skip to it by binary search."""
+    at, out = [0] * len(lists), []
+    heap = [(x[0], i) for i, x in enumerate(lists) if x]
+    heapify(heap)
+    while len(heap) >= need:
+        value, popped = heap[0][0], []
+        while heap and heap[0][0] == value:
+            popped.append(heappop(heap)[1])
+        if len(popped) >= need:
+            out.append((value, len(popped)))
+            for i in popped:
+                at[i] += 1
+        else:
+            while heap and len(popped) < need - 1:
+                popped.append(heappop(heap)[1])
+            if not heap:
+                break
+            for i in popped:
+                at[i] = bisect_left(lists[i], heap[0][0], at[i])
+        for i in popped:
+            if at[i] < len(lists[i]):
+                heappush(heap, (lists[i][at[i]], i))
+    return out
+
+
+def occurrences(num: int, den: int):
+    """Queries (q, n, h, len, lists of candidates) -> (q, d, c) for candidates on T - L short lists or more, c of them."""
+    divide = split_lists(num, den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            qs, ds, cs = [], [], []
+            for q, n, h, lens, lists in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                t, skip, _, _ = divide(n, u64(h), np.frombuffer(lens, np.int32))
+                for d, c in merge_skip([np.frombuffer(x, np.int64).tolist() for x in lists], t - skip):
+                    qs.append(q)
+                    ds.append(d)
+                    cs.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (qs, ds, cs)], names=["a", "b", "c"])
+
+    return run
 
 
-def block_pairs(num: int, den: int):
-    """Two blocks of one list's members (class, size, rest, component) -> pairs of different components that can still reach their overlap."""
+def probe_long(num: int, den: int):
+    """Candidates (a, b, c, sizes, lists of the query, core of the candidate) -> links; the candidate is looked up in each of the L long lists."""
+    divide = split_lists(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [], []
-            cols = [batch.column(i) for i in range(9)]
-            for i in range(batch.num_rows):
-                same, (x, nx, rx, cx, y, ny, ry, cy) = cols[0][i].as_py(), (c[i].values.to_numpy() for c in cols[1:])
-                for k in range(len(x)):
-                    ok = (cy != cx[k]) & (np.minimum(ry, rx[k]) >= overlap(ny, nx[k], num, den))
-                    if same:
-                        ok &= y > x[k]
-                    hit = y[ok]
-                    if len(hit):
-                        out_a.append(np.minimum(hit, x[k]))
-                        out_b.append(np.maximum(hit, x[k]))
-            if out_a:
-                pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            ok = []
+            for c, na, nb, ha, la, hb in zip(*(batch.column(i).to_pylist() for i in range(2, 8)), strict=True):
+                long = np.sort(divide(na, u64(ha), np.frombuffer(la, np.int32))[2])
+                ok.append(c + shared_by(long, u64(hb)) >= overlap(na, nb, num, den))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def jaccard_links(base: DataFrame, classes: DataFrame, rows: int, postings: int, num: int, den: int, words: int) -> DataFrame | None:
-    """(a, b): links between classes that connect exactly the pairs at or above the similarity. ``classes`` has cls, n and rep, an id."""
+def divide_skip(nodes: DataFrame, rows: int, postings: int, num: int, den: int) -> DataFrame:
+    """(a, b): all links between nodes (cls, n, m, h, len, comp, size) of different components."""
+    # Who has T lists with another component in them; most near copies have met already and are done here.
+    buckets = parts_for(postings, POSTINGS, 2)
+    posted = bucketed(nodes.select("h", "cls", "comp").mapInArrow(post_sets(buckets), PACKED), buckets)
+    counts = posted.mapInArrow(by_lists(foreign_counts(parts_for(rows, GROUP_CLASSES, 2)), HELD, 2), "g long, d binary, c binary")
+    apart = counts.groupBy("g").applyInPandas(add_counts, "cls long, c long")
+    still = cut(nodes.join(apart, "cls").where(F.col("c") * F.lit(den) >= F.col("n") * F.lit(num)).drop("c"), "apart", HEAVY * rows)
+
+    own = still.select("cls", "n", "m", "comp", "size", "h", "len")
+    held = own.mapInArrow(post_nodes(num, den, queries=False), POSTING)
+    longest = held.groupBy("h").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k")).first()[0] or 0
+    ranges = parts_for(longest, BLOCK)
+    # Lists in pieces by candidate: a query meets a candidate in the same range in all its lists.
+    pieces = held.withColumn("rng", F.pmod(F.xxhash64("cls"), F.lit(ranges)).cast("int")).groupBy("h", "parts", "rng")
+    pieces = pieces.agg(F.collect_list(F.struct("cls", "n", "top", "comp", "size")).alias("e"), F.min("comp").alias("_l"), F.max("comp").alias("_h"), F.min("n").alias("least"))
+    pieces = pieces.select("h", "rng", "least", *[F.col(f"e.{c}").alias(f"d_{c}") for c in ("cls", "n", "top", "comp", "size")], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asked = own.mapInArrow(post_nodes(num, den, queries=True), POSTING).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    asked = asked.select("h", "part", F.col("cls").alias("q"), "n", "top", "comp", "size")
+    met = asked.join(pieces, ["h", "part"]).where("least <= top").select("q", "rng", "n", "top", "comp", "size", "d_cls", "d_n", "d_top", "d_comp", "d_size")
+    lists = met.mapInArrow(candidates_in, "q long, rng int, d binary").groupBy("q", "rng").agg(F.collect_list("d").alias("d"))
+    query = still.select(F.col("cls").alias("q"), "n", "h", "len")
+    found = lists.join(query, "q").select("q", "n", "h", "len", "d").mapInArrow(occurrences(num, den), "a long, b long, c long")
+    left = still.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha"), F.col("len").alias("la"))
+    right = still.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
+    return found.join(right, "b").join(left, "a").select("a", "b", "c", "na", "nb", "ha", "la", "hb").mapInArrow(probe_long(num, den), "a long, b long")
+
+
+def jaccard_links(base: DataFrame, classes: DataFrame, rows: int, postings: int, num: int, den: int, words: int) -> tuple[DataFrame, DataFrame] | None:
+    """(a, b): links between numbered classes that connect exactly the pairs at or above the similarity, and the numbered
+    classes (cls, dig, rep) themselves. ``classes`` has dig, thin, n and rep, an id."""
     buckets = parts_for(int(postings * (1 - num / den + SLACK)) + rows, POSTINGS, 2)
     share = lambda n: min(n, n - required(n, num, den) + 1 + int(n * SLACK))
     thin = bucketed(base.select("text").mapInArrow(post_texts(words, buckets, share), PACKED), buckets)
     # A set shares 1 + slack of what it posted, or as much as a partner of the smallest allowed size has posted with slack.
     least = F.expr(f"1 + cast(floor(floor(n * {num}D / {den}D) * {SLACK}D) as long)")
-    going = cut(classes.join(shared_per_class(thin, rows), "cls").where(F.col("c") >= least).select("rep"), "going", rows)
+    enough = shared_per_class(thin, rows).withColumnRenamed("cls", "thin")
+    going = cut(classes.join(enough, "thin").where(F.col("c") >= least).select("rep", "dig").withColumn("cls", F.monotonically_increasing_id()), "going", rows)
     n_going = going.count()
     if n_going < 2:
         return None
-    narrow = F.broadcast(going.distinct()) if n_going <= BROADCAST_IDS else going.distinct()
-    texts = base.join(narrow, F.col("doc_id") == F.col("rep")).select("text")
+    narrow = F.broadcast(going) if n_going <= BROADCAST_IDS else going
+    texts = base.join(narrow, F.col("doc_id") == F.col("rep")).select("text", "cls", "dig")
     sets = cut(texts.mapInArrow(set_of_class(words), "cls long, n long, s binary"), "sets", HEAVY * n_going)
     if sets.agg(F.count(F.lit(1)) != F.countDistinct("cls")).first()[0]:  # rows repeated under one id
         sets = cut(sets.dropDuplicates(["cls"]), "sets", HEAVY * n_going)
-    discard(going)
 
     # Whole sets: first who has enough in common with others at all, then exact lists of those that are left.
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -398,42 +581,53 @@ def jaccard_links(base: DataFrame, classes: DataFrame, rows: int, postings: int,
     left = cut(sets.join(enough, "cls"), "left", HEAVY * n_going)
     discard(sets)
     index = packed(left).mapInArrow(by_lists(lists_by_class, HELD), "cls long, h binary, len binary")
-    queries = index.groupBy("cls").agg(F.collect_list("h").alias("h"), F.collect_list("len").alias("len")).join(left.select("cls", "n"), "cls").select("cls", "n", "h", "len")
-    short = cut(queries.mapInArrow(short_lists(num, den), SHORT), "short", 8 * n_going)
-
-    # First each member against its list's most central one; then what is still apart.
-    hub = short.groupBy("h").agg(F.max(F.struct(F.col("mid"), -F.col("cls"))).alias("m"), F.count(F.lit(1)).alias("len"), F.max_by("n", F.struct(F.col("mid"), -F.col("cls"))).alias("na")).where("len > 1")
-    spokes = short.join(hub.select("h", (-F.col("m")["col2"]).alias("a"), "na"), "h").where("cls != a").where(f"least(n, na) * {den} >= greatest(n, na) * {num}").select("a", F.col("cls").alias("b")).distinct()
-    first = cut(verified(spokes, left, num, den), "links", rows)
-    label = cut(components(first, rows), "labels", rows)
-
-    tagged = short.join(label.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "rest", F.coalesce("component", "cls").alias("comp"))
-    split = tagged.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("len")).where("lo != hi").select("h", "len")
-    apart = tagged.join(split, "h").withColumn("blk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("len") / BLOCK)).cast("int"))
-    blocks = apart.groupBy("h", "blk").agg(F.collect_list(F.struct("cls", "n", "rest", "comp")).alias("m"))
-    blocks = blocks.select("h", "blk", F.col("m.cls").alias("d"), F.col("m.n").alias("n"), F.col("m.rest").alias("r"), F.col("m.comp").alias("c"))
-    one, two = (blocks.select("h", *[F.col(c).alias(f"{c}{i}") for c in ("blk", "d", "n", "r", "c")]) for i in (1, 2))
-    met = one.join(two, "h").where("blk1 <= blk2").select((F.col("blk1") == F.col("blk2")).alias("same"), "d1", "n1", "r1", "c1", "d2", "n2", "r2", "c2")
-    pairs = met.mapInArrow(block_pairs(num, den), "a long, b long").distinct()
-    return first.select("a", "b").union(cut(verified(pairs, left, num, den), "links", rows))
+    turned = index.groupBy("cls").agg(F.collect_list("h").alias("h"), F.collect_list("len").alias("len")).join(left.select("cls", "n"), "cls").select("cls", "n", "h", "len")
+    turned = cut(turned.mapInArrow(cores(num, den), NODE), "cores", HEAVY * n_going)
+    discard(left)
+
+    # Classes of one core: those linked with the smallest need no more search.
+    alike = join_first(turned.select("core", "n", "cls", "m"), "core", F.struct("n", "cls"), F.struct("n", "cls"), HOT)
+    alike = cut(alike.where(F.col("cls") != F.col("first.cls")).where(F.lit(num) * (F.col("n") + F.col("first.n") - F.col("m")) <= F.lit(den) * F.col("m")).select(F.col("first.cls").alias("a"), F.col("cls").alias("b")), "alike", rows)
+    nodes = cut(turned.join(alike.select(F.col("b").alias("cls")), "cls", "left_anti").drop("core"), "nodes", HEAVY * n_going)
+    discard(turned)
+    n_nodes, n_postings = nodes.agg(F.count(F.lit(1)), F.sum("m")).first()
+    if n_nodes < 2:
+        return alike, going
+
+    shorter = cut(nodes.select("cls", "n", "h", "len").mapInArrow(shorter_lists(num, den), SHORTER), "shorter", 8 * n_nodes)
+    best = F.struct(F.col("mid"), -F.col("cls"))
+    hub = shorter.groupBy("h").agg(F.max(best).alias("top"), F.max_by("n", best).alias("na"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h", (-F.col("top")["col2"]).alias("a"), "na", "_n")
+    spokes = join_hot(shorter, cut(hub, "hubs", 8 * n_nodes), "h", shorter.count(), HOT).where("cls != a").where(f"least(n, na) * {den} >= greatest(n, na) * {num}").select("a", F.col("cls").alias("b")).distinct()
+    first = cut(verified(spokes, nodes, num, den), "links", n_nodes)
+    discard(shorter)
+    label = cut(components(first, n_nodes), "labels", n_nodes)
+    many = cut(label.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "components", n_nodes)
+    label = label.join(many, "component").withColumnRenamed("component", "comp")
+    placed = nodes.join(label, nodes["cls"] == label["node"], "left").select("cls", "n", "m", "h", "len", F.coalesce("comp", "cls").alias("comp"), F.coalesce("size", F.lit(1)).cast("long").alias("size"))
+    second = cut(divide_skip(cut(placed, "placed", HEAVY * n_nodes), n_nodes, n_postings, num, den), "links", n_nodes)
+    return alike.union(first.select("a", "b")).union(second), going
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) for every row."""
     num, den = similarity
     base = frozen(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = cut(base.mapInArrow(set_rows(words), "doc_id long, n long, cls long"), "sets", docs.count())
-    classes = keyed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).where("rep is not null")
+    n_docs = docs.count()
+    keyed = cut(base.mapInArrow(set_rows(words), "doc_id long, n long, dig binary, thin long"), "sets", n_docs)
+    classes = keyed.where("n > 0").groupBy("dig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("thin").alias("thin"), F.count(F.lit(1)).alias("_n")).where("rep is not null")
     rows, postings = classes.agg(F.count(F.lit(1)), F.sum("n")).first()
     classes = cut(classes, "classes", rows)
     links = jaccard_links(base, classes, rows, postings, num, den, words) if rows > 1 else None
-    label = classes.select("cls", F.col("rep").alias("component"))
+    label = classes.select("dig", F.col("rep").alias("component_id"), "_n")
     if links is not None:
-        found = components(links, rows).withColumnsRenamed({"node": "cls", "component": "top"})
-        own = classes.join(found, "cls", "left").withColumn("top", F.coalesce("top", "cls"))
-        label = own.join(own.groupBy("top").agg(F.min("rep").alias("component")), "top").select("cls", "component")
-    out = keyed.join(label, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+        edges, numbered = links
+        found = components(edges, rows).withColumnRenamed("node", "cls")
+        own = cut(numbered.join(found, "cls").select("dig", "rep", "component"), "linked", rows)
+        lowest = F.struct("rep", "dig")
+        moved = join_first(own, "component", lowest, lowest, HOT).select("dig", F.col("first.rep").alias("low"))
+        label = label.join(moved, "dig", "left").select("dig", F.coalesce("low", "component_id").alias("component_id"), "_n")
+    out = join_hot(keyed, cut(label, "label", rows), "dig", n_docs, HOT, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:

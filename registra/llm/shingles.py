@@ -1,16 +1,20 @@
-"""Word shingles as sorted arrays of 64-bit hashes, computed with array arithmetic over a whole text at once."""
+"""Word shingles as sorted arrays of 64-bit hashes, computed with array arithmetic over one stretch of a text after another."""
 
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
 
 #: Fixed value: an odd multiplier with well mixed bits (2^64 / golden ratio).
 BASE = 0x9E3779B97F4A7C15
-#: Bytes with A-Z folded; what bytes.split() cuts at is exactly \x20 and \x09-\x0D.
-FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes with A-Z folded and \x09-\x0D as blanks.
+FOLD = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Words whose shingles are hashed at once, and bytes of a word beyond which its digest stands for it: both bound the memory of a stretch.
+STRETCH = 1 << 14
+LONG_WORD = 256
 
 
 @lru_cache(maxsize=1)
@@ -33,23 +37,44 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def flat_words(text: str | None) -> bytes:
+    """The folded words of a text with one blank between them; a very long word is its digest after a zero byte."""
+    flat = (text or "").encode("utf-8", "surrogatepass").translate(FOLD).strip(b" ")
+    if b"  " in flat:
+        flat = re.sub(rb" {2,}", b" ", flat)
+    if re.search(rb"[^ ]{%d}" % LONG_WORD, flat):
+        flat = re.sub(rb"[^ ]{%d,}" % LONG_WORD, lambda m: b"\0" + hashlib.blake2b(m[0], digest_size=16).hexdigest().encode(), flat)
+    return flat
+
+
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
     """The distinct hashes of a text's n-word shingles, ascending; of a shorter text, that of all its words; without words, none."""
-    flat = b" ".join((text or "").encode("utf-8", "surrogatepass").translate(FOLD).split())
+    flat = flat_words(text)
     if not flat:
         return np.empty(0, np.uint64)
-    size = 1 << max(16, len(flat).bit_length())
-    up, down = powers(size)
     data = np.frombuffer(flat, np.uint8)
+    gaps = np.flatnonzero(data == 32)
+    words = len(gaps) + 1
+    n = min(n, words)
+    found = []
+    for first in range(0, words - n + 1, STRETCH):
+        last = min(first + STRETCH, words - n + 1) + n - 2  # the last word of the stretch
+        begin, end = int(gaps[first - 1]) + 1 if first else 0, int(gaps[last]) if last < words - 1 else len(data)
+        inner = gaps[first:last] - begin
+        found.append(hashed(data[begin:end], inner, n))
+    return np.unique(np.concatenate(found)) if len(found) > 1 else np.unique(found[0])
+
+
+def hashed(data: np.ndarray, gaps: np.ndarray, n: int) -> np.ndarray:
+    """The hash of every n-word shingle of a stretch, ``gaps`` being where its blanks are."""
+    up, down = powers(1 << max(16, len(data).bit_length()))
     with np.errstate(over="ignore"):
         upto = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=upto[1:])
-        gaps = np.flatnonzero(data == 32)
         start, end = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
-        start, end = (start[: 1 - n], end[n - 1 :]) if len(start) >= n > 1 else (start, end) if n == 1 else (start[:1], end[-1:])
+        start, end = start[: len(start) - n + 1], end[n - 1 :]
         # Shifted back to position 0, equal words give equal sums wherever they stand.
-        hashed = mixed((upto[end] - upto[start]) * down[start])
-    return np.unique(hashed)
+        return mixed((upto[end] - upto[start]) * down[start])
 
 
 def set_digest(hashes: np.ndarray) -> bytes:

@@ -58,15 +58,82 @@ def test_join_against_brute_force(spark, seed):
     assert result(N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == brute(rows)
 
 
-def test_join_with_tiny_tasks_and_blocks(spark, monkeypatch):
+def test_join_with_tiny_tasks_and_pieces(spark, monkeypatch):
     monkeypatch.setattr(N, "POSTINGS", 2_000)
     monkeypatch.setattr(N, "BLOCK", 8)
     monkeypatch.setattr(N, "BROADCAST_IDS", 0)
     monkeypatch.setattr(N, "GROUP_CLASSES", 20)
+    monkeypatch.setattr(N, "HOT", 5)
     rows = near_copies(random.Random(9), groups=6, size=60)
     assert result(N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [4, 2_048])
+def test_divide_skip_finds_all_links_without_hubs(spark, monkeypatch, block):
+    """Every node a component of its own: the search alone must find each link, whichever of the two asks."""
+    import numpy as np
+
+    monkeypatch.setattr(N, "BLOCK", block)
+    rng, nodes, sets = random.Random(block), [], {}
+    for k in range(120):
+        base = set(range(40 * (k % 6), 40 * (k % 6) + 40))
+        for _ in range(rng.randrange(0, 9)):
+            base.symmetric_difference_update({rng.randrange(240)})
+        sets[k] = base
+    where = {h: sum(h in s for s in sets.values()) for h in range(240)}
+    for k, s in sets.items():
+        core = sorted(h for h in s if where[h] > 1)
+        nodes.append((k, len(s), len(core), bytearray(np.array(core, np.int64).tobytes()), bytearray(np.array([where[h] for h in core], np.int32).tobytes()), k, 1))
+    df = spark.createDataFrame(nodes, "cls long, n long, m long, h binary, len binary, comp long, size long").repartition(3)
+    got = {tuple(sorted((r["a"], r["b"]))) for r in N.divide_skip(df, len(nodes), sum(x[2] for x in nodes), 75, 100).collect()}
+    assert got == {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])} and len(got) > 100
+
+
+def test_merge_skip_against_counting():
+    rng = random.Random(11)
+    for _ in range(500):
+        lists = [sorted(rng.sample(range(60), rng.randrange(0, 25))) for _ in range(rng.randrange(1, 12))]
+        need = rng.randrange(1, 9)
+        counts = {v: sum(v in x for x in lists) for v in range(60)}
+        assert N.merge_skip(lists, need) == [(v, c) for v, c in sorted(counts.items()) if c >= need]
+
+
+def test_work_grows_with_input_where_documents_share_passages(spark, monkeypatch):
+    """Texts of 2 of 10 shared passages and a word of their own: what is merged and verified does not grow by the square."""
+    seen, real_verified, real_skip = {}, N.verified, N.divide_skip
+
+    def verified(pairs, *rest):
+        seen["pairs"] = seen.get("pairs", 0) + pairs.count()
+        return real_verified(pairs, *rest)
+
+    def divide_skip(nodes, *rest):
+        seen["nodes"] = seen.get("nodes", 0) + nodes.count()
+        return real_skip(nodes, *rest)
+
+    monkeypatch.setattr(N, "verified", verified)
+    monkeypatch.setattr(N, "divide_skip", divide_skip)
+    rng, work = random.Random(2), []
+    passages = [" ".join(f"p{k}x{i}" for i in range(24)) for k in range(10)]
+    for n in (300, 600, 1_200):
+        seen.clear()
+        rows = [(i, " ".join([*(passages[k] for k in rng.sample(range(10), 2)), f"own{i}"])) for i in range(n)]
+        got = result(N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+        if n == 300:
+            assert got == brute(rows)
+        work.append((seen.get("pairs", 0), seen.get("nodes", 0)))
+        assert len({c for _, _, c in got}) == 45
+    assert work[2][0] <= 2 * max(work[0][0], 200) and work[2][1] <= 200
+
+
+def test_documents_that_share_most_but_not_enough(spark):
+    """Nodes of one core that are not linked with its smallest, and links that only some of them have."""
+    core = [f"c{i}" for i in range(80)]
+    rows = [(i, " ".join([*core, *(f"u{i}x{j}" for j in range(k))])) for i, k in enumerate([0, 1, 5, 12, 20, 24, 25, 25, 24, 18, 3, 26, 26])]
+    rows += [(100 + i, " ".join([*core[:70], *(f"v{i}x{j}" for j in range(k))])) for i, k in enumerate([0, 4, 9, 15])]
+    random.Random(1).shuffle(rows)
+    assert result(N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 @pytest.mark.parametrize("held", [200, 640, 5_000])
 def test_join_where_long_lists_leave_their_buckets(spark, monkeypatch, held):
     monkeypatch.setattr(N, "HELD", held)
@@ -153,6 +220,27 @@ def test_shingles_of_words():
     assert (shingles("A b  c d E f") == shingles("a B c\td e F")).all()
 
 
+def test_shingles_of_long_texts_and_words(monkeypatch):
+    import tracemalloc
+
+    from registra.llm import shingles as M
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "bb", "ccc", "d" * 300, "é" * 200, "d" * 299 + "x"]) for _ in range(n)) for n in (1, 4, 5, 6, 37, 400)]
+    whole = [M.shingles(t).tolist() for t in texts]
+    for stretch in (1, 7, 64):
+        monkeypatch.setattr(M, "STRETCH", stretch)
+        assert [M.shingles(t).tolist() for t in texts] == whole
+        assert [len(x) for x in whole] == [len(sets_of(t)) for t in texts]
+    monkeypatch.undo()
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(700_000))
+    tracemalloc.start()
+    assert len(M.shingles(text)) > 690_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(text)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
@@ -204,3 +292,18 @@ def test_decontamination_edges(spark, edge, empty):
     pick = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
     whole = sorted(map(str, rows.select(pick).collect()))
     assert sorted(map(str, D.decontaminate(edge, bench, group=1).select(pick).collect())) == whole
+
+
+def test_a_large_item_is_dealt_to_several_groups(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(40)}" for _ in range(700)]
+    bench = spark.createDataFrame([("big", " ".join(words)), ("b", " ".join(words[100:112])), ("s", "w1 w2")], "item_id string, text string")
+    groups = list(D.pattern_groups(bench, 10, 64))
+    assert len(groups) > 8 and max(map(len, groups)) == 64
+    patterns = D.patterns_of([(r["item_id"], r["text"]) for r in bench.collect()], 10)
+    assert {x for g in groups for x in g} == {*patterns}
+    rows = [(i, " ".join([*words[k : k + 40], "stop", *(f"w{rng.randrange(40)}" for _ in range(30))])) for i, k in enumerate(range(0, 600, 25))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in D.decontaminate(docs, bench, group=64).collect()}
+    assert got == {i: brute_hits(D.words_of(t), patterns) for i, t in rows}
+    assert D.clean_documents(docs, bench, group=64).count() == sum(not n for n, _ in got.values())
