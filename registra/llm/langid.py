@@ -31,6 +31,8 @@ from registra.llm.common import frozen, held_out
 DIMENSION = 1024
 SEED = 20_240_501
 KNOWN = 40_000
+#: Standard deviations above which a cosine is no noise.
+NOISE = 2.5
 UND = "und"
 
 
@@ -168,13 +170,18 @@ def predict(names: list[str], matrix: np.ndarray):
     return run
 
 
-def keep_known(names: list[str], matrix: np.ndarray, place: int):
-    """Whole rows -> those whose text, the column at ``place``, is not ``und``."""
+def keep_known(names: list[str], matrix: np.ndarray, place: int, least: float, languages: frozenset[str] | None):
+    """Whole rows -> those whose text, the column at ``place``, is in a language that may stay, by a cosine of ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         guess = guesser(names, matrix)
+
+        def stays(text: str | None) -> bool:
+            lang, cosine = guess(text)
+            return lang != UND and cosine >= least and (languages is None or lang in languages)
+
         for batch in batches:
-            yield batch.filter(pa.array([guess(text.as_py())[0] != UND for text in batch.column(place)], pa.bool_()))
+            yield batch.filter(pa.array([stays(text.as_py()) for text in batch.column(place)], pa.bool_()))
 
     return run
 
@@ -196,11 +203,13 @@ def language_id(docs: DataFrame, learnable: Column | None = None, dimension: int
     return base.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(predict(names, matrix), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def known_language(docs: DataFrame, learnable: Column | None = None, dimension: int = DIMENSION) -> DataFrame:
-    """The rows of ``docs`` whose language could be told: those with a letter, if any language was learned.
+def known_language(docs: DataFrame, learnable: Column | None = None, dimension: int = DIMENSION, noise: float = NOISE, languages: frozenset[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text is told to be in a learned language (one of ``languages``, where these are given).
 
-    Rows are judged as they pass, one by one, so rows that share an id, or have none, do not decide about each other. Where no
-    language could be learned nothing can be rejected, and all rows stay.
+    The cosine of a text with a prototype that has nothing to do with it is noise of standard deviation 1 / sqrt(dimension). A text
+    whose best cosine is below ``noise`` of these deviations is in no language that was learned, and goes, as does one without
+    a letter. Rows are judged as they pass, one by one, so rows that share an id, or have none, do not decide about each other.
+    Where no language could be learned nothing can be rejected, and all rows stay.
     """
     names, matrix = learned(columns_of(docs), learnable, dimension)
-    return docs.mapInArrow(keep_known(names, matrix, docs.columns.index("text")), docs.schema) if names else docs
+    return docs.mapInArrow(keep_known(names, matrix, docs.columns.index("text"), noise / dimension**0.5, languages), docs.schema) if names else docs
