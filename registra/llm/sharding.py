@@ -26,7 +26,8 @@ from pyspark.sql.window import Window
 from registra.llm.common import free, frozen, parts_for
 
 SHARDS = 40
-BUCKET_ROWS = 50_000
+#: Rows of all shards that share a hash bucket.
+BUCKET_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)

@@ -89,7 +89,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 MIXING = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w, source_size * 2 AS cap FROM s),
 f AS (
@@ -99,13 +99,26 @@ f AS (
 v AS (SELECT *, (total - before) / weights AS lvl FROM f),
 t AS (
   SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT lvl FROM v WHERE lvl * w <= cap ORDER BY cap / w, lvl LIMIT 1) * w, CAST(cap AS DOUBLE))) AS target FROM v),
-nb AS (SELECT greatest(1, CAST(ceil(count(*) / 50000.0) AS BIGINT)) AS nb FROM d),
 h AS (
-  SELECT *, CAST(('0x' || substr(md5('mix-1/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u,
-    CASE WHEN size < 8 THEN size ELSE (length(bin(size)) - 1) * 8 + (size >> (length(bin(size)) - 4)) - 8 END AS c FROM d),
-o AS (
-  SELECT h.*, row_number() OVER (PARTITION BY source ORDER BY c, CAST(floor(u * nb) AS BIGINT), u, doc_id, size) AS k,
-    CAST(('0x' || substr(md5('mix-1#' || coalesce(source, 'null')), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS z FROM h, nb),
-q AS (SELECT o.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS step FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(floor(k * step + z) - floor((k - 1) * step + z) AS BIGINT) * size AS taken FROM q
+  SELECT d.*, t.source_size, t.target, size * 1000 > t.source_size AS large,
+    CAST(('0x' || substr(md5('mix-1/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS u,
+    CAST(('0x' || substr(md5('mix-1#' || coalesce(d.source, 'null')), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE AS z,
+    CASE WHEN size < 8 THEN size ELSE (length(bin(size)) - 1) * 8 + (size >> (length(bin(size)) - 4)) - 8 END AS c
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT *, row_number() OVER (PARTITION BY source, large ORDER BY CASE WHEN large THEN -size ELSE -c END, CASE WHEN large THEN 0 ELSE CAST(floor(u * (SELECT greatest(1, CAST(ceil(count(*) / 2000000.0) AS BIGINT)) FROM d)) AS BIGINT) END, u, doc_id, size) AS k FROM h),
+fold AS (
+  SELECT source, CAST(0 AS BIGINT) AS k, target AS lft, source_size AS rst, 0.0::DOUBLE AS upto, CAST(0 AS BIGINT) AS copies FROM t
+  UNION ALL
+  SELECT source, nk, lft - cp * size, rst - size, upto + e, cp FROM (
+    SELECT *, CAST(floor(upto + e + z) - floor(upto + z) AS BIGINT) AS cp FROM (
+      SELECT f.source, o.k AS nk, f.lft, f.rst, f.upto, o.size, o.z, least(2.0::DOUBLE, greatest(0.0::DOUBLE, f.lft / f.rst)) AS e
+      FROM fold f JOIN o ON o.large AND o.source IS NOT DISTINCT FROM f.source AND o.k = f.k + 1) x) y),
+s2 AS (
+  SELECT f.source, f.upto, CASE WHEN f.rst > 0 THEN least(2.0::DOUBLE, greatest(0.0::DOUBLE, f.lft / f.rst)) WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS e
+  FROM fold f JOIN t ON f.source IS NOT DISTINCT FROM t.source
+  WHERE f.k = (SELECT max(k) FROM fold g WHERE g.source IS NOT DISTINCT FROM f.source))
+SELECT doc_id, size, source_size, target, copies * size AS taken FROM o JOIN fold ON o.large AND fold.k = o.k AND fold.source IS NOT DISTINCT FROM o.source
+UNION ALL
+SELECT doc_id, size, source_size, target, CAST(floor(upto + k * e + z) - floor(upto + (k - 1) * e + z) AS BIGINT) * size
+FROM o JOIN s2 ON s2.source IS NOT DISTINCT FROM o.source WHERE NOT o.large
 """

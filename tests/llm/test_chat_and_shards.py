@@ -1,4 +1,5 @@
 import json
+import math
 import time
 import zlib
 
@@ -127,6 +128,29 @@ def test_sharding_query_against_brute_force(edge, empty, documents):
     assert S.shard_documents(empty).collect() == []
 
 
+def hash64(i, name):
+    """Spark's xxhash64 of a string and a long: each value seeds the next."""
+    import xxhash
+
+    h = xxhash.xxh64(name.encode(), 42).intdigest()
+    return xxhash.xxh64(int(i).to_bytes(8, "little", signed=True), h).intdigest() if i is not None else h
+
+
+def plain_descent(i, node):
+    while node.children:
+        node = min((c for c in node.children if c.weight > 0), key=lambda c: -math.log(((hash64(i, c.name) >> 11) + 1.0) / 2.0**53) / c.weight)
+    return node.shard
+
+
+def test_shard_by_a_plain_descent_of_the_tree(edge, documents):
+    for docs in (edge, documents):
+        for r in S.shard_documents(docs).collect():
+            assert (r["shard"], r["grown_shard"]) == tuple(plain_descent(r["doc_id"], S.build_tree(n)) for n in (40, 41))
+    tree = S.build_tree(11, 8, 2, 2, {1: 3.0, 4: 0.0})
+    got = documents.select("doc_id", S.descend(F.col("doc_id"), tree).alias("s")).collect()
+    assert all(r["s"] == plain_descent(r["doc_id"], tree) for r in got) and 4 not in {r["s"] for r in got}
+
+
 def test_slots_are_gapless_over_many_buckets(spark):
     df = spark.range(3000).selectExpr("id AS doc_id", "CAST(id % 3 AS INT) AS shard")
     got = S.slots(df, "shard", ["doc_id"], 3000, bucket_rows=100).collect()
