@@ -8,7 +8,7 @@ from registra.llm import common, decontam, langid, mixing, ngram_join, sharding
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, whose language cannot be told, go."""
+    """Documents that are told to be in none of the learned languages go: those without a letter, and those no closer to any language than chance is."""
     return langid.known_language(docs)
 
 
