@@ -8,19 +8,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registra.functions.sums import exact_sum, key_text
+from registra.functions.sums import checked_sum, exact_sum, key_text
 from registra.functions.types import MEASURES, check_types
 from registra.operators.joins import dim_join
-
-
-def in_range(df: DataFrame, key: str, lo, hi) -> DataFrame:
-    return df.where(F.col(key).between(lo, hi))
+from registra.sources.request import in_range
 
 
 def group_sum(df: DataFrame, keys: Sequence[str], sums: dict[str, str]) -> DataFrame:
     """GROUP BY keys with SUM(source) AS name for each of ``sums``; ANSI arithmetic raises on overflow."""
     check_types(df.schema, list(sums.values()), MEASURES)
-    return df.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    return df.groupBy(*keys).agg(*[checked_sum(c).alias(n) for n, c in sums.items()])
 
 
 def join_report(fact: DataFrame, dims: Sequence[tuple], keys: Sequence[str], sums: dict[str, str], range_on: tuple | None = None) -> DataFrame:

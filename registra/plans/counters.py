@@ -39,9 +39,37 @@ class RunReport:
         return {k: v.get["n_rows"] for k, v in self.points.items()}
 
 
+def scan_metrics(df: DataFrame) -> dict[str, int]:
+    """What the scans of a plan that has run (by collect(), say) have read: files, bytes of files, rows that left the scans."""
+    out, todo = {"files": 0, "bytes": 0, "rows": 0}, [df._jdf.queryExecution().executedPlan()]
+    names = {"numFiles": "files", "filesSize": "bytes", "numOutputRows": "rows"}
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if kind.endswith("ScanExec"):
+            for name, to in names.items():
+                if node.metrics().contains(name):
+                    out[to] += node.metrics().apply(name).value()
+    return out
+
+
 def plan_facts(df: DataFrame) -> dict[str, Any]:
     """What the physical plan says about pushdown, pruning, joins and shuffles."""
-    text = df._jdf.queryExecution().executedPlan().toString()
+    conf, key = df.sparkSession.conf, "spark.sql.maxMetadataStringLength"
+    told = conf.get(key)
+    conf.set(key, 100_000)  # filters are cut off otherwise
+    try:
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        conf.set(key, told)
     return {
         "pushed": re.findall(r"PushedFilters: \[([^\]]*)\]", text),
         "partition_filters": re.findall(r"PartitionFilters: \[([^\]]*)\]", text),

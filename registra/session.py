@@ -8,8 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: ANSI arithmetic raises on overflow; UTC makes timestamps compare alike everywhere.
-SETTINGS = {"spark.sql.ansi.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true"}
+#: ANSI arithmetic raises on overflow; UTC makes timestamps compare alike everywhere; a broken or missing file is an error, and
+#: counts come from footers where a source can take aggregates.
+SETTINGS = {"spark.sql.ansi.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.files.ignoreCorruptFiles": "false", "spark.sql.files.ignoreMissingFiles": "false", "spark.sql.parquet.aggregatePushdown": "true"}
 
 
 def get_session(master: str | None = None, **settings: str) -> SparkSession:

@@ -1,4 +1,4 @@
-"""What Parquet footers say: columns, sizes, and the row groups that a range can skip. Read through Hadoop, so any store will do."""
+"""What Parquet footers say: columns, sizes, counts, and the row groups that a range can skip. Read through Hadoop, so any store will do."""
 
 from __future__ import annotations
 
@@ -7,18 +7,32 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registra.sources.identity import snapshot
-
 
 def _groups(spark: SparkSession, path: str) -> Iterator:
+    """The row groups of all files, whose footers are read by the JVM's own threads in one call."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for file in sorted(snapshot(spark, [path])):
-        at = jvm.org.apache.hadoop.fs.Path(file)
-        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, conf))
-        try:
-            yield from reader.getFooter().getBlocks()
-        finally:
-            reader.close()
+    at, statuses = jvm.org.apache.hadoop.fs.Path(path), jvm.java.util.ArrayList()
+    files = at.getFileSystem(conf).listFiles(at, True)
+    while files.hasNext():
+        status = files.next()
+        if not status.getPath().getName().startswith(("_", ".")):
+            statuses.add(status)
+    footers = jvm.org.apache.parquet.hadoop.ParquetFileReader.readAllFootersInParallel(conf, statuses, False)
+    for footer in sorted(footers, key=lambda f: f.getFile().toString()):
+        yield from footer.getParquetMetadata().getBlocks()
+
+
+def footer_count(spark: SparkSession, path: str) -> DataFrame:
+    """One row, n: COUNT(*) from footers alone. The aggregate is pushed into the scan, which only newer sources allow; no column is read."""
+    old, spark_conf = spark.conf.get("spark.sql.sources.useV1SourceList"), spark.conf
+    spark_conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    spark_conf.set("spark.sql.sources.useV1SourceList", ",".join(x for x in old.split(",") if x != "parquet"))
+    try:
+        df = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+        df._jdf.queryExecution().executedPlan()  # planned while the settings hold
+    finally:
+        spark_conf.set("spark.sql.sources.useV1SourceList", old)
+    return df
 
 
 def parquet_columns(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from registra.sources.request import RequestError, ScanRequest
 from registra.sources.zones import ZoneCatalog
@@ -60,10 +59,7 @@ class Registry:
             mode, request = found[1], ScanRequest(found[2], request.columns, request.key, request.lo, request.hi)
         df = self.get(mode).create(spark, request)
         request.validate(df.schema)
-        if request.ranged:
-            on = F.col(request.on)
-            df = df.where(on >= request.lo if request.hi is None else on <= request.hi if request.lo is None else on.between(request.lo, request.hi))
-        return df.select(*request.columns)
+        return request.within(df).select(*request.columns)
 
 
 def _table(spark: SparkSession, request: ScanRequest) -> DataFrame:
@@ -74,6 +70,11 @@ def _parquet(spark: SparkSession, request: ScanRequest) -> DataFrame:
     return spark.read.parquet(request.source)
 
 
+def csv_provider(schema: str) -> Provider:
+    """CSV files with a header line, read by a declared schema: types are never guessed from a part of the rows."""
+    return Provider("csv", lambda s, r: s.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(r.source), "CSV files with a header, by a declared schema")
+
+
 def default_registry(zones: ZoneCatalog | None = None) -> Registry:
     out = Registry()
     out.register(Provider("table", _table, "a table, view or DataFrame of the session"))

@@ -1,8 +1,12 @@
 """Zones: derived snapshots of some columns over one closed key range, kept as Parquet with a manifest.
 
 A zone serves a request only if its range contains the request's, it has all columns, it is marked valid, and its source's
-files and schema are still those that it was built from. Its rows are filtered again. A zone is written beside its place and
-renamed into it, so readers see all of it or nothing; the manifest comes last.
+files and schema are still those that it was built from. Its rows are filtered again. A bound that is None is no bound, of a
+zone and of a request alike.
+
+Every build writes to a folder of its own name; the manifest names that folder and is swapped in by one atomic rename. So
+readers see the zone before or the zone after, whole, and one that has planned on the zone before can still finish: its
+folder stays until vacuum().
 """
 
 from __future__ import annotations
@@ -10,19 +14,19 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import uuid
 from dataclasses import asdict, dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from registra.functions.types import schema_fingerprint
-from registra.sources.identity import SourceChangedError, snapshot
-from registra.sources.request import ScanRequest
+from registra.sources.identity import SourceChangedError, fingerprint
+from registra.sources.request import ScanRequest, contains
 
 VALID, STALE, MISSING, NOT_FOUND = "VALID", "STALE", "MISSING", "NOT_FOUND"
-FORMAT = 1
+FORMAT = 2
 
 
 class ZoneError(RuntimeError):
@@ -33,14 +37,15 @@ class ZoneError(RuntimeError):
 class Manifest:
     table: str
     key: str
-    lo: int
-    hi: int
+    lo: int | None
+    hi: int | None
     columns: list[str]
     rows: int
+    source_rows: int
     bytes: int
     state: str
     schema: str
-    files: dict[str, list[int]]
+    files: list[int]  # the source's fingerprint
     built: float
     path: str
     format: int = FORMAT
@@ -54,19 +59,22 @@ class ZoneCatalog:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def _place(self, table: str, lo: int, hi: int) -> str:
-        return f"{self.root}/{hashlib.sha256(table.encode()).hexdigest()[:16]}_{lo}_{hi}"
+    def _place(self, m: Manifest) -> str:
+        """The manifest's path: a zone of another key, other columns or another range is another zone."""
+        name = json.dumps([m.table, m.key, sorted(m.columns), m.lo, m.hi])
+        return f"{self.root}/{hashlib.sha256(name.encode()).hexdigest()[:32]}.json"
 
     def _write(self, m: Manifest) -> None:
-        place = f"{self._place(m.table, m.lo, m.hi)}.json"
-        fs, at = self._fs(f"{place}.tmp")
+        """Put the manifest in place of the one before, by a rename that overwrites."""
+        jvm, place = self.spark._jvm, self._place(m)
+        fs, at = self._fs(f"{place}.{uuid.uuid4().hex}.tmp")
         out = fs.create(at, True)
         out.write(bytearray(json.dumps(asdict(m)).encode()))
         out.close()
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         to = self._fs(place)[1]
-        fs.delete(to, False)
-        if not fs.rename(at, to):
-            raise ZoneError(f"manifest {place} could not be written")
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(to).toUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(at), fs.makeQualified(to), over)
 
     def _all(self) -> list[Manifest]:
         fs, at = self._fs(self.root)
@@ -78,29 +86,26 @@ class ZoneCatalog:
                 stream = fs.open(status.getPath())
                 m = json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
                 stream.close()
-                if m["format"] > FORMAT:
-                    raise ZoneError(f"{status.getPath()} has format {m['format']}; this reads up to {FORMAT}")
+                if m["format"] != FORMAT:
+                    raise ZoneError(f"{status.getPath()} has format {m['format']}; this reads {FORMAT}")
                 out.append(Manifest(**m))
-        return sorted(out, key=lambda m: (m.table, m.lo, m.hi))
+        return sorted(out, key=lambda m: (m.table, m.lo is not None, m.lo or 0, m.hi is None, m.hi or 0, m.key, m.columns))
 
-    def build(self, table: str, columns: list[str], lo: int, hi: int, key: str | None = None) -> Manifest:
-        """Materialise ``columns`` of the Parquet table at ``table`` for lo <= key <= hi, in place of a zone with the same range."""
-        files = snapshot(self.spark, [table])
+    def build(self, table: str, columns: list[str], lo: int | None = None, hi: int | None = None, key: str | None = None) -> Manifest:
+        """Materialise ``columns`` of the Parquet table at ``table`` for lo <= key <= hi, in place of the zone of the same table, key, columns and range."""
+        files = fingerprint(self.spark, table)
         source = self.spark.read.parquet(table)
         request = ScanRequest(table, tuple(columns), key, lo, hi)
         request.validate(source.schema)
-        place = self._place(table, lo, hi)
+        path = f"{self.root}/data/{uuid.uuid4().hex}"
         # Sorted inside files, so that row groups have narrow bounds for later ranges.
-        source.where(F.col(request.on).between(lo, hi)).select(*dict.fromkeys([request.on, *columns])).sortWithinPartitions(request.on).write.mode("overwrite").parquet(f"{place}.tmp")
-        if snapshot(self.spark, [table]) != files:
+        request.within(source).select(*dict.fromkeys([request.on, *columns])).sortWithinPartitions(request.on).write.parquet(path)
+        source_rows = source.count()
+        if fingerprint(self.spark, table) != files:
             raise SourceChangedError(f"{table} changed while a zone was built")
-        fs, at = self._fs(f"{place}.tmp")
-        fs.delete(self._fs(place)[1], True)
-        if not fs.rename(at, self._fs(place)[1]):
-            raise ZoneError(f"zone {place} could not be written")
-        held = self.spark.read.parquet(place)
-        size = sum(x[0] for x in snapshot(self.spark, [place]).values())
-        m = Manifest(table, request.on, lo, hi, held.columns, held.count(), size, VALID, schema_fingerprint(source.schema, held.columns), {k: list(v) for k, v in files.items()}, time.time(), place)
+        held = self.spark.read.parquet(path)
+        size = fingerprint(self.spark, path)[1]
+        m = Manifest(table, request.on, lo, hi, held.columns, held.count(), source_rows, size, VALID, schema_fingerprint(source.schema, held.columns), list(files), time.time(), path)
         self._write(m)
         return m
 
@@ -112,7 +117,7 @@ class ZoneCatalog:
         if m.state != VALID:
             return m.state
         try:
-            now = {k: list(v) for k, v in snapshot(self.spark, [m.table]).items()}
+            now = list(fingerprint(self.spark, m.table))
         except SourceChangedError:
             return STALE
         same = now == m.files and schema_fingerprint(self.spark.read.parquet(m.table).schema, m.columns) == m.schema
@@ -120,41 +125,54 @@ class ZoneCatalog:
 
     def lookup(self, request: ScanRequest) -> Manifest | None:
         """The smallest valid zone that contains the request, if any."""
-        if not request.ranged:
-            return None
-        fit = [m for m in self._all() if m.table == request.source and m.key == request.on and m.lo <= request.lo and m.hi >= request.hi and {*request.columns} <= {*m.columns}]
-        return min((m for m in fit if self.state(m) == VALID), key=lambda m: (m.rows, m.lo), default=None)
+        fit = [m for m in self._all() if m.table == request.source and m.key == request.on and contains(m.lo, m.hi, request.lo, request.hi) and {*request.columns} <= {*m.columns}]
+        # Rows without a key are in a zone only if it has no bounds.
+        fit = [m for m in fit if request.ranged or m.lo is None and m.hi is None]
+        for m in sorted(fit, key=lambda m: (m.rows, m.built)):
+            if self.state(m) == VALID:
+                return m
+        return None
 
     def covering(self, table: str, columns: list[str]) -> Manifest | None:
-        """A valid zone that holds all rows of ``table``; rows whose key is null are in no zone."""
-        total = None
+        """A valid zone that holds all rows of ``table``, by the counts taken when it was built; rows whose key is null are in no zone with bounds."""
         for m in self._all():
-            if m.table == table and {*columns} <= {*m.columns} and self.state(m) == VALID:
-                total = self.spark.read.parquet(table).count() if total is None else total
-                if m.rows == total:
-                    return m
+            if m.table == table and m.rows == m.source_rows and {*columns} <= {*m.columns} and self.state(m) == VALID:
+                return m
         return None
 
     def scan(self, request: ScanRequest) -> DataFrame:
         m = self.lookup(request)
         if m is None:
             raise ZoneError(f"no valid zone holds {request.on} {request.lo}..{request.hi} of {request.source}")
-        return self.spark.read.parquet(m.path).where(F.col(m.key).between(request.lo, request.hi)).select(*request.columns)
-
-    def invalidate(self, table: str, lo: int, hi: int) -> str:
+        return request.within(self.spark.read.parquet(m.path)).select(*request.columns)
+
+    def invalidate(self, table: str, lo: int | None, hi: int | None) -> str:
+        """Mark the zones of this table and range, of whatever key and columns."""
+        found = [m for m in self._all() if (m.table, m.lo, m.hi) == (table, lo, hi)]
+        for m in found:
+            m.state = STALE
+            self._write(m)
+        return STALE if found else NOT_FOUND
+
+    def drop(self, table: str, lo: int | None, hi: int | None) -> None:
+        """Manifests and files of this table's zones of this range go; a zone that is not there is no error."""
         for m in self._all():
             if (m.table, m.lo, m.hi) == (table, lo, hi):
-                m.state = STALE
-                self._write(m)
-                return STALE
-        return NOT_FOUND
-
-    def drop(self, table: str, lo: int, hi: int) -> None:
-        """Files and manifest go; a zone that is not there is no error."""
-        place = self._place(table, lo, hi)
-        for path in (f"{place}.json", place):
-            fs, at = self._fs(path)
-            fs.delete(at, True)
+                for path in (self._place(m), m.path):
+                    fs, at = self._fs(path)
+                    fs.delete(at, True)
+
+    def vacuum(self, older_than: float = 86_400.0) -> int:
+        """Remove folders that no manifest names and that were written this many seconds ago or earlier; how many."""
+        fs, at = self._fs(f"{self.root}/data")
+        if not fs.exists(at):
+            return 0
+        named, gone = {m.path.rsplit("/", 1)[1] for m in self._all()}, 0
+        for status in fs.listStatus(at):
+            if status.getPath().getName() not in named and status.getModificationTime() / 1000 <= time.time() - older_than:
+                fs.delete(status.getPath(), True)
+                gone += 1
+        return gone
 
     def info(self) -> DataFrame:
         kind = T.StructType([T.StructField(n, t()) for n, t in (("table", T.StringType), ("key", T.StringType), ("lo", T.LongType), ("hi", T.LongType), ("rows", T.LongType), ("bytes", T.LongType), ("state", T.StringType), ("built", T.DoubleType), ("path", T.StringType))])

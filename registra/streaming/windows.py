@@ -16,6 +16,12 @@ def windowed_sums(events: DataFrame, time: str, key: str, measure: str, size: st
     return out.select(F.col("w.start").alias("window_start"), key, "n", "total")
 
 
+def keep_windows(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """All windows as they stand after each micro-batch, written over those of the batch before."""
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(path)
+    return windows.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def keep_totals(stream: DataFrame, path: str, checkpoint: str, keys: list[str], measure: str) -> StreamingQuery:
     """Each micro-batch's sums, written under its number: a batch that runs again replaces what it had written, so totals read
     with read_totals() count every row once."""
