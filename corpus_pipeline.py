@@ -40,5 +40,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), name)
+        with common.temporary() as kept:
+            done = common.cut(stage(spark, docs, sf_dir), name)
+            kept.append(done)
+        common.discard(docs)
+        docs = done
     return docs
