@@ -35,6 +35,8 @@ SEED = "mix-1"
 LARGE = 1_000
 #: Rows for one hash bucket; each has some 140 size classes, which are sorted apart.
 BUCKET_ROWS = 2_000_000
+#: Sources whose table is broadcast; with more of them only those that very many rows have are.
+SOURCES = 100_000
 HOT = 1_000
 
 
@@ -104,11 +106,13 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, b
     offset = unit(F.concat(F.lit(f"{seed}#"), F.coalesce("source", F.lit("null"))))
     totals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n")), weights, budget, most)
     totals = cut(totals.select(key.alias("_k"), "source_size", "target", offset.alias("_z"), "_n"), "targets", rows)
+    few = totals.count() <= SOURCES
     draw = unit(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    dealt = join_hot(sized.withColumn("_k", key).withColumn("_d", draw).drop("source"), totals, "_k", rows, HOT)
+    keyed = sized.withColumn("_k", key).withColumn("_d", draw).drop("source")
+    dealt = keyed.join(F.broadcast(totals.drop("_n")), "_k") if few else join_hot(keyed, totals, "_k", rows, HOT)
     is_large = F.col("size") * large > F.col("source_size")
 
-    folded = cut(fold_large(dealt.where(is_large), most), "large", rows)
+    folded = fold_large(dealt.where(is_large), most)
     first = folded.select("source_size", "target", F.explode(F.arrays_zip("rows", "copies")).alias("x"))
     first = first.select(F.col("x.rows._own").alias("_own"), F.col("x.rows.doc_id").alias("doc_id"), (-F.col("x.rows.s")).alias("size"), "source_size", "target", F.col("x.copies").alias("copies"))
 

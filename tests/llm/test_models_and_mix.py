@@ -288,7 +288,9 @@ def test_mix_takes_its_targets(spark, sf, bucket_rows):
     assert sorted((r["doc_id"], r["taken"]) for r in again.collect()) == sorted((r["doc_id"], r["taken"]) for r in rows)
 
 
-def test_mix_of_many_small_documents_shares_one_expectation(spark):
+@pytest.mark.parametrize("sources", [100_000, 0])
+def test_mix_of_many_small_documents_shares_one_expectation(spark, monkeypatch, sources):
+    monkeypatch.setattr(mixing, "SOURCES", sources)
     docs = spark.range(6_000).selectExpr("id AS doc_id", "repeat('w ', CAST(1 + id % 7 AS INT)) AS text", "IF(id % 3 = 0, 'a', 'b') AS source")
     for bucket_rows in (2_000_000, 100):
         got = mixing.mix(docs, bucket_rows=bucket_rows).groupBy("target").sum("taken", "size").collect()
