@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +16,8 @@ from registra.session import ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-ARROW_ROWS = 2_000
+#: Bounds of the batches that Python gets, where the session sets none: rows are whole documents or sets, and some are long.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
 #: Short rows that a file of an intermediate table may hold; HEAVY says how many of them a row with a whole text or set weighs.
 HEAVY = 50
 ROWS_A_FILE = 250_000
@@ -33,9 +37,10 @@ def held_out(doc_id: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    # Rows are whole documents here, some of them long: the default of 10,000 rows a batch takes memory twice, in the JVM and in Python.
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    told = spark._jsparkSession.sessionState().conf()
+    for key, value in ARROW.items():
+        if not told.contains(key):
+            spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,9 +70,37 @@ def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._registra_path = path
+    if open_scopes():
+        open_scopes()[-1].append(out)
     return out
 
 
+_scopes = threading.local()
+
+
+def open_scopes() -> list[list[DataFrame]]:
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    return _scopes.open
+
+
+@contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """Tables that cut() makes in this block are removed when it ends, but for those that are put on the list it gives."""
+    kept: list[DataFrame] = []
+    open_scopes().append([])
+    try:
+        yield kept
+    finally:
+        made = open_scopes().pop()
+        stay = {x._registra_path for x in kept}
+        for x in made:
+            if x._registra_path not in stay:
+                discard(x)
+            elif open_scopes():
+                open_scopes()[-1].append(x)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table made by cut() that no later plan reads."""
     path = getattr(df, "_registra_path", None)

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.common import HEAVY, cut, discard, free, frozen, join_first, join_hot, parts_for, u64
+from registra.llm.common import HEAVY, cut, discard, free, frozen, join_first, join_hot, parts_for, temporary, u64
 from registra.llm.components import components
 from registra.llm.shingles import set_digest, shingles
 
@@ -613,6 +613,15 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     num, den = similarity
     base = frozen(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_docs = docs.count()
+    with temporary() as kept:
+        keyed, label = labelled(base, n_docs, num, den, words)
+        kept += [keyed, label]
+    out = join_hot(keyed, label, "dig", n_docs, HOT, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def labelled(base: DataFrame, n_docs: int, num: int, den: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, dig) for every row, and (dig, component_id, _n) for every class, both written."""
     keyed = cut(base.mapInArrow(set_rows(words), "doc_id long, n long, dig binary, thin long"), "sets", n_docs)
     classes = keyed.where("n > 0").groupBy("dig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("thin").alias("thin"), F.count(F.lit(1)).alias("_n")).where("rep is not null")
     rows, postings = classes.agg(F.count(F.lit(1)), F.sum("n")).first()
@@ -626,8 +635,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int]
         lowest = F.struct("rep", "dig")
         moved = join_first(own, "component", lowest, lowest, HOT).select("dig", F.col("first.rep").alias("low"))
         label = label.join(moved, "dig", "left").select("dig", F.coalesce("low", "component_id").alias("component_id"), "_n")
-    out = join_hot(keyed, cut(label, "label", rows), "dig", n_docs, HOT, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return keyed, cut(label, "label", rows)
 
 
 def one_of_each_group(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -638,16 +646,19 @@ def one_of_each_group(docs: DataFrame, words: int = WORDS, similarity: tuple[int
     (tag,) = free(docs, "_tag")
     key, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
     tagged, n = docs.withColumn(tag, F.xxhash64(key.isNull(), key, text.isNull(), text)), docs.count()
-    found = ngram_join(tagged.select(F.col(tag).alias("doc_id"), text.alias("text")), words, similarity).where("n_shingles > 0")
-    found = cut(found.groupBy(F.col("doc_id").alias("_t")).agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("rows")), "found", n)
-    ids = tagged.select(F.col(tag).alias("_t"), key.alias("id")).distinct()
-    first = found.join(ids, "_t").groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "_t", "rows")).alias("m")).select("m._t", "m.rows")
-    first = cut(first, "first", n)
-    gone = cut(found.select("_t").join(first, "_t", "left_anti"), "gone", n)
-    kept = tagged.join(gone, tagged[tag] == gone["_t"], "left_anti")
-    # Rows that are equal in id and text: one of them.
-    again = first.where("rows > 1").select("_t")
+    with temporary() as kept:
+        found = ngram_join(tagged.select(F.col(tag).alias("doc_id"), text.alias("text")), words, similarity).where("n_shingles > 0")
+        found = cut(found.groupBy(F.col("doc_id").alias("_t")).agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("rows")), "found", n)
+        ids = tagged.select(F.col(tag).alias("_t"), key.alias("id")).distinct()
+        first = found.join(ids, "_t").groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "_t", "rows")).alias("m")).select("m._t", "m.rows")
+        first = cut(first, "first", n)
+        gone = cut(found.select("_t", "rows").join(first, "_t", "left_anti"), "gone", n)
+        kept += [found, first, gone]
+    # Rows equal in id and text: one of them. If they are very many, they are picked by a broadcast join; there are few such groups.
+    again, least = first.where("rows > 1"), max(1, n // HOT)
+    same, few, hot = tagged[tag] == F.col("_t"), F.col("rows") <= least, F.col("rows") > least
+    stay = tagged.join(F.broadcast(found.where(hot).select("_t")), same, "left_anti").join(gone.union(again).where(few).select("_t"), same, "left_anti")
     if again.limit(1).count():
-        equal = kept.join(again, F.col(tag) == again["_t"], "left_semi").dropDuplicates([tag])
-        kept = kept.join(again, F.col(tag) == again["_t"], "left_anti").unionByName(equal)
-    return kept.drop(tag)
+        equal = tagged.join(F.broadcast(again.where(hot).select("_t")), same, "left_semi").unionByName(tagged.join(again.where(few).select("_t"), same, "left_semi"))
+        stay = stay.unionByName(equal.dropDuplicates([tag]))
+    return stay.drop(tag)

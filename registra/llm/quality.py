@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.common import HEAVY, cut, discard, frozen, held_out
+from registra.llm.common import HEAVY, cut, discard, frozen, held_out, temporary
 from registra.llm.toxicity import bounded_labels
 
 LABELLED = 6_000
@@ -266,6 +266,7 @@ def quality(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None,
     """doc_id, held_out, score, predicted (1 is good), text_score and meta_score for every row of ``docs``."""
     base = frozen(docs, *[c for c in DOC if c != "held_out"])
     base = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"), F.col("n_chars").cast("long").alias("n_chars"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
-    model = train(base, labels, pages, labelled, ~held_out(F.col("doc_id")) if learnable is None else learnable)
+    with temporary():
+        model = train(base, labels, pages, labelled, ~held_out(F.col("doc_id")) if learnable is None else learnable)
     rows = with_pages(base.select(*DOC).mapInArrow(text_view(model and model["text"], keep=False), f"{REST}, z double"), pages)
     return rows.mapInArrow(scorer(model), "doc_id long, held_out boolean, score double, predicted int, text_score double, meta_score double")

@@ -46,6 +46,19 @@ def test_collisions_are_verified(spark):
     assert sorted(map(tuple, E.exact_dedup(df, digest=weak).collect()), key=str) == brute(rows, "smallest")
 
 
+def test_temporary_tables_go_and_kept_ones_stay(spark):
+    from registra.llm import common
+
+    there = lambda df: spark._jvm.org.apache.hadoop.fs.Path(df._registra_path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(df._registra_path))
+    with common.temporary() as outer:
+        with common.temporary() as inner:
+            a, b, c = (common.cut(spark.range(3), n) for n in "abc")
+            inner += [a, b]
+        assert there(a) and there(b) and not there(c)
+        outer.append(a)
+    assert there(a) and not there(b) and a.count() == 3 and common.open_scopes() == []
+
+
 def test_filter_never_misses():
     import numpy as np
 

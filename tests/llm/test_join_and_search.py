@@ -197,11 +197,12 @@ def test_one_of_each_group_decides_by_row(spark):
     assert kept_of(spark, rows) in [sorted([("5", x), ("2", y + " more"), ("1", "one text"), ("None", t), ("3", ""), ("3", None), ("None", "")], key=str) for t in (z, z + " more")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_one_of_each_group_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 1_000), (2, 20)])
+def test_one_of_each_group_against_brute_force(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(N, "HOT", hot)
     rng = random.Random(seed)
     rows = [(rng.choice([None, i // 4, i // 4, i]), t) for i, t in near_copies(rng)]
-    rows += rng.sample(rows, 30)
+    rows += rng.sample(rows, 30) + [rows[0]] * 40 + [(None, rows[1][1])] * 40
     groups = {}
     parts = {int(k): c for k, _, c in brute([(i, t) for i, (_, t) in enumerate(rows)])}
     for i, c in parts.items():
