@@ -63,8 +63,7 @@ def fingerprints(docs: DataFrame, chars: int) -> DataFrame:
     """One row per selected line: doc_id, tid (a hash of the text), at (its place among the lines that are not blank), fp, size, and its neighbours (lefts and rights, lsizes and rsizes), nearest first."""
     seq = F.filter(F.transform(lines_of(F.col("text")), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: F.length(x) > 0)
     line = lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit("second"), x).alias("g"))
-    hashed = docs.select("doc_id", "tid", seq.alias("_s")).where(F.size("_s") > 0)
-    hashed = hashed.select("doc_id", "tid", F.transform("_s", line).alias("d"), F.transform("_s", lambda x: F.length(x)).alias("c"))
+    hashed = docs.select("doc_id", "tid", seq.alias("_s")).select("doc_id", "tid", F.transform("_s", line).alias("d"), F.transform("_s", lambda x: F.length(x)).alias("c"))
     n = F.size("c")
     # Lines are at least one character long, so a window has at most ``chars`` of them.
     grown = lambda sizes: F.aggregate(
@@ -74,19 +73,33 @@ def fingerprints(docs: DataFrame, chars: int) -> DataFrame:
         lambda a: F.when(a["held"] >= chars, a["n"]).otherwise(F.lit(0)),
     )
     length = lambda i: F.when(F.get("c", i) >= chars, F.lit(1)).otherwise(grown(F.slice("c", i + 1, F.lit(chars))))
-    windows = F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), length(i).alias("m"))), lambda w: w["m"] > 0)
+    windows = F.filter(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("i"), length(i).alias("m"))), lambda w: w["m"] > 0)
 
     def lowest(w: Column) -> Column:
         hs = F.reverse(F.slice("d", w["i"] + 1, w["m"]))
         return F.when(w["m"] == 1, w["i"]).otherwise(w["i"] + w["m"] - F.array_position(hs, F.array_min(hs)).cast("int"))
 
-    picked = hashed.select("doc_id", "tid", "d", "c", F.explode(F.array_distinct(F.transform(windows, lowest))).alias("at"))
-    left = lambda x: F.reverse(F.slice(x, F.greatest(F.col("at") - chars, F.lit(0)) + 1, F.least(F.col("at"), F.lit(chars))))
-    right = lambda x: F.slice(x, F.col("at") + 2, F.lit(chars))
-    near = picked.select("doc_id", "tid", "at", F.get("d", "at").alias("fp"), F.get("c", "at").alias("size"), "d", left("c").alias("_lc"), right("c").alias("_rc"))
-    near = near.withColumn("_l", reach(F.col("size"), F.col("_lc"), chars)).withColumn("_r", reach(F.col("size"), F.col("_rc"), chars))
-    take = lambda x, k: F.slice(x, F.lit(1), F.col(k))
-    return near.select("doc_id", "tid", "at", "fp", "size", take(left("d"), "_l").alias("lefts"), take(right("d"), "_r").alias("rights"), take("_lc", "_l").alias("lsizes"), take("_rc", "_r").alias("rsizes"))
+    # All of it inside the document's arrays: only small rows are exploded, so a long document is not copied for each of its lines.
+    wide = lambda i: F.struct(
+        i.alias("at"),
+        F.get("c", i).alias("size"),
+        F.reverse(F.slice("c", F.greatest(i - chars, F.lit(0)) + 1, F.least(i, F.lit(chars)))).alias("lc"),
+        F.slice("c", i + 2, F.lit(chars)).alias("rc"),
+    )
+    reached = lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"), x["lc"].alias("lc"), x["rc"].alias("rc"), reach(x["size"], x["lc"], chars).alias("l"), reach(x["size"], x["rc"], chars).alias("r"))
+    near = lambda x: F.struct(
+        x["at"].alias("at"),
+        F.get("d", x["at"]).alias("fp"),
+        x["size"].alias("size"),
+        F.reverse(F.slice("d", x["at"] - x["l"] + 1, x["l"])).alias("lefts"),
+        F.slice("d", x["at"] + 2, x["r"]).alias("rights"),
+        F.slice(x["lc"], F.lit(1), x["l"]).alias("lsizes"),
+        F.slice(x["rc"], F.lit(1), x["r"]).alias("rsizes"),
+    )
+    places = F.array_distinct(F.transform(windows, lowest))
+    picked = hashed.select("doc_id", "tid", F.transform(F.transform(F.transform(places, wide), reached), near).alias("p"))
+    # Not explode: of that Spark infers a filter on the array's size, which it works out from the text for each line anew.
+    return picked.select("doc_id", "tid", F.explode_outer("p").alias("p")).where("p is not null").select("doc_id", "tid", "p.*")
 
 
 def common(a: Column, b: Column) -> Column:
@@ -119,7 +132,7 @@ def repeated_runs(docs: DataFrame, chars: int) -> DataFrame:
     held = total(F.slice("lsizes", F.lit(1), F.col("l"))) + F.col("size") + total(F.slice("rsizes", F.lit(1), F.col("r")))
     later = place > F.struct("first.doc_id", "first.tid", "first.at")
     runs = met.where(later & (held >= chars)).select("doc_id", "tid", (F.col("at") - F.col("l")).alias("lo"), (F.col("at") + F.col("r")).alias("hi"))
-    more = met.where((F.size("lefts") > F.col("l")) | (F.size("rights") > F.col("r"))).select("doc_id", "tid", "at", F.explode(open_windows(chars)).alias("w"))
+    more = met.where((F.size("lefts") > F.col("l")) | (F.size("rights") > F.col("r"))).select("doc_id", "tid", "at", F.explode_outer(open_windows(chars)).alias("w")).where("w is not null")
     more = cut(more.select("doc_id", "tid", (F.col("at") - F.col("w.a")).alias("at"), (F.col("w.a") + F.col("w.b")).alias("more"), F.col("w.key").alias("key")).distinct(), "open")
     again = join_first(more, "key", place, place, HOT).where(place > F.col("first")).select("doc_id", "tid", F.col("at").alias("lo"), (F.col("at") + F.col("more")).alias("hi"))
     return runs.union(again)

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from registra.llm import common
 from registra.llm import exact_dedup as E
 from registra.llm import line_dedup as L
 from registra.llm.common import LOWER, UPPER
@@ -47,8 +48,6 @@ def test_collisions_are_verified(spark):
 
 
 def test_temporary_tables_go_and_kept_ones_stay(spark):
-    from registra.llm import common
-
     there = lambda df: spark._jvm.org.apache.hadoop.fs.Path(df._registra_path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(df._registra_path))
     with common.temporary() as outer:
         with common.temporary() as inner:
@@ -100,6 +99,7 @@ def brute_lines(rows, chars):
 @pytest.mark.parametrize("hot", [1_000, 4])
 def test_lines_against_brute_force(spark, monkeypatch, chars, hot):
     monkeypatch.setattr(L, "HOT", hot)
+    monkeypatch.setattr(common, "PLAIN", 200_000 if hot == 1_000 else 0)
     rng = random.Random(chars)
     pool = [f"{i} " + "w" * (3 * i % 17) for i in range(12)] + ["", "  ", "a", "b", "a"]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(14)))) for i in range(150)] + [(200, None), (201, "")]
