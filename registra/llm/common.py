@@ -18,9 +18,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Bounds of the batches that Python gets, where the session sets none: rows are whole documents or sets, and some are long.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+#: Tables up to this size are dealt to all cores before they are worked on.
+SPREAD_BYTES = 32 << 20
 #: Short rows that a file of an intermediate table may hold; HEAVY says how many of them a row with a whole text or set weighs.
 HEAVY = 50
 ROWS_A_FILE = 250_000
+#: Short rows up to which one key may have all of them without harm.
+PLAIN = 200_000
 #: The words of a whitespace-cut contract, as a Java regular expression.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -41,7 +45,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for key, value in ARROW.items():
         if not told.contains(key):
             spark.conf.set(key, value)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # A small file may be one row group, which one task would read and work on alone.
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -143,8 +150,11 @@ def join_hot(df: DataFrame, found: DataFrame, key: str, rows: int, hot: int, how
     """``df`` joined to ``found``, which has one row for each key and in ``_n`` how many of the ``rows`` rows of ``df`` have it.
 
     Keys that more than one in ``hot`` of all rows have, fewer than ``hot`` keys, are joined by broadcast, so the rows of a hot
-    key never meet in one task; the rest are joined by a shuffle. ``how`` is inner or left.
+    key never meet in one task; the rest are joined by a shuffle. Up to ``PLAIN`` rows are no burden to a task, whatever their
+    keys, and are joined as they are. ``how`` is inner or left.
     """
+    if rows <= PLAIN:
+        return df.join(found.drop("_n"), key, how)
     least = rows // hot
     many, few = F.broadcast(found.where(F.col("_n") > least).drop("_n")), found.where(F.col("_n") <= least).drop("_n")
     return df.join(many, key).unionByName(df.join(many.select(key), key, "left_anti").join(few, key, how))

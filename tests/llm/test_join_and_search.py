@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from registra.llm import common
 from registra.llm import components as K
 from registra.llm import decontam as D
 from registra.llm import ngram_join as N
@@ -64,6 +65,7 @@ def test_join_with_tiny_tasks_and_pieces(spark, monkeypatch):
     monkeypatch.setattr(N, "BROADCAST_IDS", 0)
     monkeypatch.setattr(N, "GROUP_CLASSES", 20)
     monkeypatch.setattr(N, "HOT", 5)
+    monkeypatch.setattr(common, "PLAIN", 0)
     rows = near_copies(random.Random(9), groups=6, size=60)
     assert result(N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
@@ -242,9 +244,12 @@ def test_shingles_of_long_texts_and_words(monkeypatch):
     assert peak < 12 * len(text)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("plain", [200_000, 0])
+def test_components(spark, monkeypatch, plain):
+    monkeypatch.setattr(common, "PLAIN", plain)
+    monkeypatch.setattr(K, "HOT", 30)
     rng = random.Random(4)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)] + [(500, i) for i in range(2_000, 2_080)]
     got = {r["node"]: r["component"] for r in K.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     top = {}
 
