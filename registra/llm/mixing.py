@@ -17,7 +17,7 @@ within what its last and smallest documents can still even out.
 Defined results
   * null texts have size 0 and may be drawn like others; a null source is a source, the last; a null id is allowed;
   * a source of size 0 has target 0 and takes nothing;
-  * equal rows may swap copies; with one seed, reruns agree; an empty table gives no rows; extra columns are ignored.
+  * targets are found from one row for each source, in one task; equal rows may swap copies; with one seed, reruns agree; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, b
     is_large = F.col("size") * large > F.col("source_size")
 
     folded = fold_large(dealt.where(is_large), most)
-    first = folded.select("source_size", "target", F.explode(F.arrays_zip("rows", "copies")).alias("x"))
+    first = folded.select("source_size", "target", F.explode_outer(F.arrays_zip("rows", "copies")).alias("x"))
     first = first.select(F.col("x.rows._own").alias("_own"), F.col("x.rows.doc_id").alias("doc_id"), (-F.col("x.rows.s")).alias("size"), "source_size", "target", F.col("x.copies").alias("copies"))
 
     # The others: one expectation for each source; hash order inside a class, the bucket being its leading part.

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from registra.llm import langid, mixing, quality, queries, toxicity
+from registra.llm import common, langid, mixing, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -291,6 +291,7 @@ def test_mix_takes_its_targets(spark, sf, bucket_rows):
 @pytest.mark.parametrize("sources", [100_000, 0])
 def test_mix_of_many_small_documents_shares_one_expectation(spark, monkeypatch, sources):
     monkeypatch.setattr(mixing, "SOURCES", sources)
+    monkeypatch.setattr(common, "PLAIN", 0)
     docs = spark.range(6_000).selectExpr("id AS doc_id", "repeat('w ', CAST(1 + id % 7 AS INT)) AS text", "IF(id % 3 = 0, 'a', 'b') AS source")
     for bucket_rows in (2_000_000, 100):
         got = mixing.mix(docs, bucket_rows=bucket_rows).groupBy("target").sum("taken", "size").collect()
