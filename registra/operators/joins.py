@@ -28,12 +28,15 @@ def asof_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     """
     taken = {c.lower() for c in (*left.columns, *payload)}
     key, time, side, held, own = (next(f"{'_' * i}{n}" for i in range(1, 99) if f"{'_' * i}{n}" not in taken) for n in ("key", "time", "side", "held", "own"))
-    rows = left.select(F.col(left_key).alias(key), F.col(left_time).alias(time), F.lit(1).alias(side), F.struct(*left.columns).alias(own), F.lit(None).cast(right.select(F.struct(*payload)).schema[0].dataType).alias(held))
+    open_ended = left[left_key].isNull() | left[left_time].isNull()
+    rows = left.where(~open_ended).select(F.col(left_key).alias(key), F.col(left_time).alias(time), F.lit(1).alias(side), F.struct(*left.columns).alias(own), F.lit(None).cast(right.select(F.struct(*payload)).schema[0].dataType).alias(held))
     facts = right.where(F.col(right_key).isNotNull() & F.col(right_time).isNotNull()).select(F.col(right_key).alias(key), F.col(right_time).alias(time), F.lit(0).alias(side), F.lit(None).cast(rows.schema[own].dataType).alias(own), F.struct(*payload).alias(held))
-    # On equal times the right side comes first. A NULL key or time sorts before every row of the right side, or meets none.
+    # On equal times the right side comes first.
     upto = Window.partitionBy(key).orderBy(time, side).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = rows.unionByName(facts).withColumn(held, F.last(held, ignorenulls=True).over(upto)).where(F.col(side) == 1)
-    return found.select(f"{own}.*", *[F.col(f"{held}.{c}").alias(c) for c in payload])
+    out = found.select(f"{own}.*", *[F.col(f"{held}.{c}").alias(c) for c in payload])
+    # Rows without a key or time match nothing and are kept out of the shuffle, where they would meet in one task.
+    return out.union(left.where(open_ended).select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in payload]))
 
 
 def dim_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, payload: str, alias: str, policy: str = "all", order_by: str | None = None) -> DataFrame:

@@ -56,7 +56,8 @@ def month_start(period: int) -> datetime:
 
 
 def fact(spark: SparkSession, sf_dir: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
-    """The register's rows. A range of periods is asked of the stored date, so that it reaches the scan; the key itself is an expression, which no file's statistics know."""
+    """The register's rows in a range of periods. The range is asked of the stored date, so that it reaches the scan; the key itself
+    is an expression, which no file's statistics know. A period is a calendar month, so both say the same."""
     rows = load(spark, sf_dir, "lineitem")
     kind = rows.schema["l_shipdate"].dataType
     if lo is not None:
@@ -114,7 +115,7 @@ JOIN2 = f"FROM {F_SQL} JOIN {PERIOD_SQL} USING (period_key) JOIN (SELECT CAST(p_
 
 @query(f"SELECT period_key, company_key, CAST(sum(amount_dt) AS BIGINT) AS total_amt FROM {F_SQL} {RANGE} GROUP BY ALL")
 def groupby_sum(spark, sf_dir):
-    return reports.group_sum(reports.in_range(fact(spark, sf_dir, LO, HI), "period_key", LO, HI), ["period_key", "company_key"], {"total_amt": "amount_dt"})
+    return reports.group_sum(fact(spark, sf_dir, LO, HI), ["period_key", "company_key"], {"total_amt": "amount_dt"})
 
 
 def by_period(spark):
@@ -127,7 +128,7 @@ def by_account(spark, sf_dir, key="account_key"):
 
 @query(f"SELECT year, company_key, CAST(sum(amount_dt) AS BIGINT) AS total_amt FROM {F_SQL} JOIN {PERIOD_SQL} USING (period_key) {RANGE} GROUP BY ALL")
 def join1_groupby(spark, sf_dir):
-    return reports.join_report(fact(spark, sf_dir, LO, HI), [by_period(spark)], ["year", "company_key"], {"total_amt": "amount_dt"}, ("period_key", LO, HI))
+    return reports.join_report(fact(spark, sf_dir, LO, HI), [by_period(spark)], ["year", "company_key"], {"total_amt": "amount_dt"})
 
 
 JOIN2_SQL = f"SELECT year, account_group, company_key, CAST(sum(amount_dt) AS BIGINT) AS total_amt {JOIN2} {{}} GROUP BY ALL"
@@ -139,7 +140,7 @@ def join2(spark, sf_dir, rows, lo=None, hi=None):
 
 @query(JOIN2_SQL.format(RANGE))
 def join2_groupby(spark, sf_dir):
-    return join2(spark, sf_dir, fact(spark, sf_dir, LO, HI), LO, HI)
+    return join2(spark, sf_dir, fact(spark, sf_dir, LO, HI))
 
 
 REGISTER_SQL = f"SELECT year, account_group, company_key, CAST(sum(amount_dt) AS BIGINT) AS debit, CAST(sum(amount_kt) AS BIGINT) AS credit, CAST(sum(amount_dt) - sum(amount_kt) AS BIGINT) AS net {JOIN2} WHERE period_key BETWEEN {{}} AND {{}} GROUP BY ALL"
@@ -147,7 +148,7 @@ REGISTER_SQL = f"SELECT year, account_group, company_key, CAST(sum(amount_dt) AS
 
 def _register(name: str, lo: int, hi: int) -> None:
     def run(spark, sf_dir):
-        return reports.register_report(fact(spark, sf_dir, lo, hi), [by_period(spark), by_account(spark, sf_dir)], ["year", "account_group", "company_key"], "amount_dt", "amount_kt", ("period_key", lo, hi))
+        return reports.register_report(fact(spark, sf_dir, lo, hi), [by_period(spark), by_account(spark, sf_dir)], ["year", "account_group", "company_key"], "amount_dt", "amount_kt")
 
     QUERIES[name], SQL[name] = run, REGISTER_SQL.format(lo, hi)
 
@@ -159,7 +160,7 @@ for _name, _lo, _hi in (("register_report", LO, HI), ("register_selectivity_narr
 @query(f"SELECT company_group, account_group, period_key, CAST(sum(debit_cents) AS BIGINT) AS debit, CAST(sum(credit_cents) AS BIGINT) AS credit, CAST(sum(debit_cents) - sum(credit_cents) AS BIGINT) AS net FROM {F_SQL} JOIN (SELECT CAST(s_suppkey AS INTEGER) AS company_key, s_nationkey AS company_group FROM supplier) c USING (company_key) JOIN (SELECT 4000000000 + p_partkey AS account_key8, p_size AS account_group FROM part) a USING (account_key8) {RANGE} GROUP BY ALL")
 def register_report_int8(spark, sf_dir):
     company = (dim_company(spark, sf_dir), "company_key", "company_key", "company_group", "company_group")
-    return reports.register_report(fact(spark, sf_dir, LO, HI), [company, by_account(spark, sf_dir, "account_key8")], ["company_group", "account_group", "period_key"], "debit_cents", "credit_cents", ("period_key", LO, HI))
+    return reports.register_report(fact(spark, sf_dir, LO, HI), [company, by_account(spark, sf_dir, "account_key8")], ["company_group", "account_group", "period_key"], "debit_cents", "credit_cents")
 
 
 def _typed(name: str, keys: list[str], sums: list[str], kinds: list[str], edge: bool = False, rendered: bool = False) -> None:
@@ -198,7 +199,7 @@ TOTALS_SQL = "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum({1}) AS DECIMA
 
 @query(TOTALS_SQL.format("period_key", "dt_null", f"{F_SQL} {RANGE}"))
 def scan_totals(spark, sf_dir):
-    return footers.scan_totals(reports.in_range(fact(spark, sf_dir, LO, HI), "period_key", LO, HI), "period_key", "dt_null")
+    return footers.scan_totals(fact(spark, sf_dir, LO, HI), "period_key", "dt_null")
 
 
 @query(f"SELECT period_key, CAST(sum(t) AS BIGINT) AS total FROM (SELECT period_key, company_key, sum(amount_dt) AS t FROM {F_SQL} GROUP BY ALL) x GROUP BY ALL")
@@ -341,7 +342,7 @@ def partitioned(spark: SparkSession, sf_dir: str, zone_of: tuple[int, ...]) -> t
 
     def build(root: str) -> None:
         for i, (lo, hi) in enumerate(PARTS):
-            reports.in_range(fact(spark, sf_dir, lo, hi).select(*ZONE_COLUMNS), "period_key", lo, hi).write.parquet(f"{root}/child{i}")
+            fact(spark, sf_dir, lo, hi).select(*ZONE_COLUMNS).write.parquet(f"{root}/child{i}")
             if i in zone_of:
                 ZoneCatalog(spark, f"{root}/zones").build(f"{root}/child{i}", ZONE_COLUMNS, lo, hi)
 

@@ -21,7 +21,6 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from registra.functions.types import schema_fingerprint
 from registra.sources.identity import SourceChangedError, fingerprint
 from registra.sources.request import ScanRequest, contains
 
@@ -44,7 +43,7 @@ class Manifest:
     source_rows: int
     bytes: int
     state: str
-    schema: str
+    schema: dict[str, Any]
     files: list[int]  # the source's fingerprint
     built: float
     path: str
@@ -105,23 +104,24 @@ class ZoneCatalog:
             raise SourceChangedError(f"{table} changed while a zone was built")
         held = self.spark.read.parquet(path)
         size = fingerprint(self.spark, path)[1]
-        m = Manifest(table, request.on, lo, hi, held.columns, held.count(), source_rows, size, VALID, schema_fingerprint(source.schema, held.columns), list(files), time.time(), path)
+        m = Manifest(table, request.on, lo, hi, held.columns, held.count(), source_rows, size, VALID, held.schema.jsonValue(), list(files), time.time(), path)
         self._write(m)
         return m
 
     def state(self, m: Manifest) -> str:
-        """VALID only while the files are there and the source is what it was."""
+        """VALID only while the files are there and the source's files, and with them its schema, are what they were."""
         fs, at = self._fs(m.path)
         if not fs.exists(at):
             return MISSING
         if m.state != VALID:
             return m.state
         try:
-            now = list(fingerprint(self.spark, m.table))
+            return VALID if list(fingerprint(self.spark, m.table)) == m.files else STALE
         except SourceChangedError:
             return STALE
-        same = now == m.files and schema_fingerprint(self.spark.read.parquet(m.table).schema, m.columns) == m.schema
-        return VALID if same else STALE
+
+    def read(self, m: Manifest) -> DataFrame:
+        return self.spark.read.schema(T.StructType.fromJson(m.schema)).parquet(m.path)
 
     def lookup(self, request: ScanRequest) -> Manifest | None:
         """The smallest valid zone that contains the request, if any."""
@@ -144,7 +144,7 @@ class ZoneCatalog:
         m = self.lookup(request)
         if m is None:
             raise ZoneError(f"no valid zone holds {request.on} {request.lo}..{request.hi} of {request.source}")
-        return request.within(self.spark.read.parquet(m.path)).select(*request.columns)
+        return request.within(self.read(m)).select(*request.columns)
 
     def invalidate(self, table: str, lo: int | None, hi: int | None) -> str:
         """Mark the zones of this table and range, of whatever key and columns."""
