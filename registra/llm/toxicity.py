@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A clause is what stands between full stops, exclamation and question marks and line ends; commas, colons, brackets and quotes
-are breaks inside it. Words become symbols: insult and threat (weighted), target, negation, reported speech, break, other.
+A clause is what stands between full stops, exclamation and question marks and line ends; commas, colons, brackets, quotes, bars
+and runs of marks ("!!", "...") are breaks inside it. Words become symbols: insult and threat (weighted), target, negation, reported speech, break, other.
 Insult words and stems with their weights are learned from labelled rows as log odds. Threats are inflected forms of fixed
 verbs; a form weighs its log odds where enough toxic rows hold it, a prior otherwise. The other classes are short fixed lists.
 
@@ -45,6 +45,8 @@ from registra.llm.common import HEAVY, cut, frozen, held_out
 LABELLED = 20_000
 LEAST_DOCS = 4
 LEAST_WEIGHT = 3.0
+#: How much more telling than its stem a word must be to have a weight of its own.
+STEM_SLACK = 1.0
 STEMS = (4, 5, 6, 7, 8)
 #: The grammar's closed word classes (English, German, French, Spanish). Threats are verbs, in stems that take their language's endings.
 THREAT = {
@@ -72,8 +74,9 @@ THREAT_WEIGHT = 2.0
 #: Prior weight of a match's log evidence, by what applies to it.
 PRIOR = {"base": 1.0, "target": 0.3, "negated": -0.8, "reported": -0.5, "bias": -3.0}
 #: Characters that end a clause, and those that are breaks inside it; others that are not letters or apostrophes cut words.
-HARD, SOFT = ".!?\n|", ",:;()\"\u201c\u201d\u00ab\u00bb"
+HARD, SOFT = ".!?\n", ",:;()|\"\u201c\u201d\u00ab\u00bb"
 _HARD = re.compile(f"[{re.escape(HARD)}]")
+_RUNS = re.compile("[.!?]{2,}")
 _CUT = {i: " " for i in range(0x80) if not (chr(i).isalpha() or chr(i) == "'")} | {i: " " for i in (0x2018, 0xA0, 0x2026, 0xBF, 0xA1)} | {ord(c): " . " for c in HARD} | {ord(c): " , " for c in SOFT}
 
 
@@ -144,7 +147,12 @@ def compose(left: list[Transducer], right: list[Transducer]) -> tuple[list[list[
 
 def words_of(text: str | None) -> list[str]:
     """Lower-case words, with "." where a clause ends and "," at a break inside it."""
-    return (text or "").lower().replace("\u2019", "'").translate(_CUT).split()
+    return with_breaks((text or "").lower().replace("\u2019", "'")).translate(_CUT).split()
+
+
+def with_breaks(text: str) -> str:
+    """Runs of marks as breaks, in their places."""
+    return _RUNS.sub(lambda m: "," * len(m[0]), text)
 
 
 def features(word: str) -> Iterator[str]:
@@ -189,6 +197,7 @@ class Grammar:
         begins = [i for i in begins if not i or not in_word(text[i - 1])]
         if not begins:
             return
+        text = with_breaks(text)
         ends = [m.start() for m in _HARD.finditer(text)]
         for k in sorted({bisect_left(ends, i) for i in begins}):
             yield text[ends[k - 1] + 1 if k else 0 : ends[k] if k < len(ends) else len(text)]
@@ -278,10 +287,10 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     odds = {f: math.log((n + 0.5) / (yes + 1)) - math.log((in_clean.get(f, 0) + 0.5) / (no + 1)) for f, n in in_toxic.items()}
     closed = {*inflected(), *TARGET, *NEGATION, *REPORTED}
     threats = {f: round(max(0.0, odds[f]), 6) for f in inflected() if f in odds}
-    # A stem that is as telling as its continuations speaks for them.
+    # A stem that is about as telling as its continuations speaks for them.
     picked: dict[str, float] = {}
     for f in sorted(odds, key=lambda f: (len(f), f)):
-        if odds[f] >= LEAST_WEIGHT and f not in closed and not any(f[:n] + "*" in picked for n in STEMS if n < len(f.rstrip("*")) + (not f.endswith("*"))):
+        if odds[f] >= LEAST_WEIGHT and f not in closed and not any(odds[f] <= picked.get(f[:n] + "*", -1.0) + STEM_SLACK for n in STEMS if n < len(f.rstrip("*")) + (not f.endswith("*"))):
             picked[f] = round(odds[f], 6)
     return picked, threats
 

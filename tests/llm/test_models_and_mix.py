@@ -112,8 +112,9 @@ def test_grammar_scores_clauses():
         assert find(text) == {("threat", True, False, False): 2.0}
     assert find("they threaten to attack you") == {("threat", True, False, False): 4.0}
     assert find("She isn\u2019t an idiot") == find("She isn't an idiot") == {("insult", True, True, False): 5.0}
+    assert find("YOU!! IDIOT!! ALL!!") == find("you | idiot | all") == {("insult", True, False, False): 5.0}
     # A word alone is no clause.
-    assert find("idiot") == find("Idiot!") == find("kill.") == find("Fine. Idiot. Fine.") == {}
+    assert find("idiot") == find("Idiot!") == find("Idiot!!") == find("kill.") == find("Fine. Idiot. Fine.") == {}
     assert find("skill and unstupid are fine") == find("") == find(None) == {}
     assert found(toxicity.Grammar({}, {"kill": 6.5}), "they kill you") == {("threat", True, False, False): 6.5}
 
@@ -146,7 +147,7 @@ def test_grammar_against_plain_rules():
 
     rng, lexicon = random.Random(7), {"idiot": 5.0, "scum": 3.0}
     g = toxicity.Grammar(lexicon)
-    pool = ["you", "she", "them", "not", "isn't", "never", "said", "wrote", "idiot", "scum", "kills", "attack", ",", ":", "(", ".", "!", "a", "the", "thing", "is", "said ,", ", she said"]
+    pool = ["you", "she", "them", "not", "isn't", "never", "said", "wrote", "idiot", "scum", "kills", "attack", ",", ":", "(", ".", "!", "!!", "...", "|", "a", "the", "thing", "is", "said ,", ", she said"]
     for _ in range(4_000):
         text = " ".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))
         assert found(g, text) == plain_evidence(lexicon, text), text
