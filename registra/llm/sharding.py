@@ -110,5 +110,5 @@ def add_shard(docs: DataFrame, shards: int = SHARDS, base: int = SHARDS) -> Data
     (whole,) = free(docs, "_h")
     # Rows of one id, or of none, are told apart by a hash of the row, so that they share no bucket unless they are equal.
     hashable = [f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    tagged = docs.withColumn("shard", descend(F.col("doc_id").cast("long"), build_tree(shards, base)).cast(T.IntegerType())).withColumn(whole, F.xxhash64(*[docs[c] for c in hashable]))
+    tagged = docs.withColumn(whole, F.xxhash64(*[docs[c] for c in hashable])).withColumn("shard", descend(F.col("doc_id").cast("long"), build_tree(shards, base)).cast(T.IntegerType()))
     return slots(tagged, "shard", ["doc_id", whole], docs.count()).drop(whole)
