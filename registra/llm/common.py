@@ -20,6 +20,10 @@ LOWER = UPPER.lower()
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
 #: Tables up to this size are dealt to all cores before they are worked on.
 SPREAD_BYTES = 32 << 20
+#: Rows that are read at a time in small_batches().
+READ_ROWS = "512"
+#: Bytes of the source, as the optimizer knows them, that one partition of a table to be written may have.
+GATHER = 64 << 20
 #: Short rows that a file of an intermediate table may hold; HEAVY says how many of them a row with a whole text or set weighs.
 HEAVY = 50
 ROWS_A_FILE = 250_000
@@ -82,6 +86,31 @@ def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """The same rows in fewer partitions, without a shuffle, where the source is dealt over very many: GATHER bytes of it each, but
+    enough of them for all cores. Of a table that is written then, each file starts child processes to set its permissions,
+    and while one starts it has the executor's whole memory a second time."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = parts_for(size, GATHER, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    # The optimizer calls a table of unknown size endless.
+    return df.coalesce(parts) if parts < 1 << 20 else df
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Parquet is read in batches of fewer rows in this block, where the session sets none: of whole texts, thousands take arrays
+    so large that the collector grows the heap for them."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    told = spark._jsparkSession.sessionState().conf().contains(key)
+    if not told:
+        spark.conf.set(key, READ_ROWS)
+    try:
+        yield
+    finally:
+        if not told:
+            spark.conf.unset(key)
+
+
 _scopes = threading.local()
 
 
@@ -160,11 +189,13 @@ def join_hot(df: DataFrame, found: DataFrame, key: str, rows: int, hot: int, how
     return df.join(many, key).unionByName(df.join(many.select(key), key, "left_anti").join(few, key, how))
 
 
-def join_first(df: DataFrame, key: str, payload: Column, order: Column, hot: int) -> DataFrame:
+def join_first(df: DataFrame, key: str, payload: Column, order: Column, hot: int, rows: int | None = None) -> DataFrame:
     """The rows of ``df`` whose key has rows of at least two different ``order``, with ``first``: the smallest payload of the key,
-    which must start with the fields of ``order``. Minima are aggregated before they are shuffled."""
+    which must start with the fields of ``order``. Minima are aggregated before they are shuffled. ``rows``, where the caller
+    knows how many ``df`` has, keeps the files of the minima few: each kept key has two rows at least."""
     firsts = df.groupBy(key).agg(F.min(payload).alias("first"), F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    return join_hot(df, cut(firsts.where("_lo != _hi").drop("_lo", "_hi"), "firsts"), key, df.count(), hot)
+    firsts = cut(firsts.where("_lo != _hi").drop("_lo", "_hi"), "firsts", None if rows is None else rows // 2)
+    return join_hot(df, firsts, key, df.count() if rows is None else rows, hot)
 
 
 def parts_for(rows: int, each: int, least: int = 1) -> int:

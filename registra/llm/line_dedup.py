@@ -29,12 +29,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.common import cut, frozen, join_first
+from registra.llm.common import ROWS_A_FILE, cut, frozen, gathered, join_first, parts_for, small_batches
 
 #: Characters that a run must have to count as repeated.
 CHARS = 30
 #: A key is hot if more than one in ``HOT`` of all rows have it, so there are fewer than ``HOT`` hot keys.
 HOT = 1_000
+#: What a span takes in memory, and what the spans of one partition may take to be hashed and not sorted.
+SPAN_BYTES, BUILD_BYTES = 128, 16 << 20
 BLANKS = " \t\r\f\u000b"
 LINE = "struct<h:bigint,g:bigint>"
 
@@ -80,11 +82,13 @@ def fingerprints(docs: DataFrame, chars: int) -> DataFrame:
         return F.when(w["m"] == 1, w["i"]).otherwise(w["i"] + w["m"] - F.array_position(hs, F.array_min(hs)).cast("int"))
 
     # All of it inside the document's arrays: only small rows are exploded, so a long document is not copied for each of its lines.
+    # No window reaches past a neighbour that is one by itself, and next to most lines of prose there is such a line.
+    seen = lambda i: F.when(F.get("c", i) >= chars, F.lit(1)).otherwise(F.lit(chars))
     wide = lambda i: F.struct(
         i.alias("at"),
         F.get("c", i).alias("size"),
-        F.reverse(F.slice("c", F.greatest(i - chars, F.lit(0)) + 1, F.least(i, F.lit(chars)))).alias("lc"),
-        F.slice("c", i + 2, F.lit(chars)).alias("rc"),
+        F.reverse(F.slice("c", F.greatest(i - seen(i - 1), F.lit(0)) + 1, F.least(i, seen(i - 1)))).alias("lc"),
+        F.slice("c", i + 2, seen(i + 1)).alias("rc"),
     )
     reached = lambda x: F.struct(x["at"].alias("at"), x["size"].alias("size"), x["lc"].alias("lc"), x["rc"].alias("rc"), reach(x["size"], x["lc"], chars).alias("l"), reach(x["size"], x["rc"], chars).alias("r"))
     near = lambda x: F.struct(
@@ -122,26 +126,34 @@ def open_windows(chars: int) -> Column:
     return F.transform(F.filter(cells, lambda w: is_window(w) & beyond(w)), lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), digest(w).alias("key")))
 
 
-def repeated_runs(docs: DataFrame, chars: int) -> DataFrame:
-    """(doc_id, tid, lo, hi) of later occurrences."""
+def repeated_runs(docs: DataFrame, chars: int) -> tuple[DataFrame, int]:
+    """(doc_id, tid, lo, hi) of later occurrences, and how many rows that can be at most."""
     place = F.struct("doc_id", "tid", "at")
-    found = cut(fingerprints(docs, chars), "fingerprints")
-    met = join_first(found, "fp", F.struct("doc_id", "tid", "at", "lefts", "rights"), place, HOT)
+    with small_batches(docs.sparkSession):
+        found = cut(gathered(fingerprints(docs, chars)), "fingerprints")
+    n_found = found.count()
+    met = join_first(found, "fp", F.struct("doc_id", "tid", "at", "lefts", "rights"), place, HOT, n_found)
     l, r = common(F.col("lefts"), F.col("first.lefts")), common(F.col("rights"), F.col("first.rights"))  # noqa: E741
     met = met.withColumn("l", l).withColumn("r", r)
     held = total(F.slice("lsizes", F.lit(1), F.col("l"))) + F.col("size") + total(F.slice("rsizes", F.lit(1), F.col("r")))
     later = place > F.struct("first.doc_id", "first.tid", "first.at")
     runs = met.where(later & (held >= chars)).select("doc_id", "tid", (F.col("at") - F.col("l")).alias("lo"), (F.col("at") + F.col("r")).alias("hi"))
     more = met.where((F.size("lefts") > F.col("l")) | (F.size("rights") > F.col("r"))).select("doc_id", "tid", "at", F.explode_outer(open_windows(chars)).alias("w")).where("w is not null")
-    more = cut(more.select("doc_id", "tid", (F.col("at") - F.col("w.a")).alias("at"), (F.col("w.a") + F.col("w.b")).alias("more"), F.col("w.key").alias("key")).distinct(), "open")
-    again = join_first(more, "key", place, place, HOT).where(place > F.col("first")).select("doc_id", "tid", F.col("at").alias("lo"), (F.col("at") + F.col("more")).alias("hi"))
-    return runs.union(again)
+    more = more.select("doc_id", "tid", (F.col("at") - F.col("w.a")).alias("at"), (F.col("w.a") + F.col("w.b")).alias("more"), F.col("w.key").alias("key")).distinct()
+    more = cut(more.coalesce(parts_for(n_found, ROWS_A_FILE, 2 * more.sparkSession.sparkContext.defaultParallelism)), "open")
+    n_more = more.count()
+    again = join_first(more, "key", place, place, HOT, n_more).where(place > F.col("first")).select("doc_id", "tid", F.col("at").alias("lo"), (F.col("at") + F.col("more")).alias("hi"))
+    return runs.union(again), n_found + n_more
 
 
 def line_dedup(docs: DataFrame, chars: int = CHARS) -> DataFrame:
     """doc_id, text without the lines of later repeated runs, n_lines (not blank) and n_dropped. Rows are those of ``docs``."""
     base = frozen(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tid", F.xxhash64("text"))
-    spans = repeated_runs(base, chars).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans")).withColumnsRenamed({"doc_id": "_id", "tid": "_tid"})
+    runs, most = repeated_runs(base, chars)
+    spans = runs.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans")).withColumnsRenamed({"doc_id": "_id", "tid": "_tid"})
+    # If a partition's spans would fit in memory even if every fingerprint had one, they are hashed and no text is sorted; else both sides are sorted and spill.
+    if most * SPAN_BYTES <= BUILD_BYTES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        spans = spans.hint("shuffle_hash")
     merged = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["lo"], s["hi"]))))
     out = base.join(spans.select("_id", "_tid", merged.alias("gone")), F.expr("doc_id <=> _id and tid = _tid"), "left")
     out = out.withColumn("_lines", lines_of(F.col("text")))

@@ -6,22 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registra.llm import chat_format, decontam, exact_dedup, langid, line_dedup, mixing, ngram_join, quality, sharding, sql, toxicity
-from registra.llm.common import table
+from registra.llm.common import ROWS_A_FILE, parts_for, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def digests(found: DataFrame, rows: int) -> DataFrame:
+    """Short rows, dealt once more: as many files as they need, not one for each partition of the texts."""
+    short = found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    return short.repartition(parts_for(rows, ROWS_A_FILE, found.sparkSession.sparkContext.defaultParallelism))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    docs = table(spark, sf_dir, "documents")
+    found = line_dedup.line_dedup(docs)
+    return digests(found, docs.count())
 
 
 def op2_line_dedup_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that is not blank is a run of its own, however short: all its later repeats go."""
-    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"), chars=1)
-    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    docs = table(spark, sf_dir, "documents")
+    found = line_dedup.line_dedup(docs, chars=1)
+    return digests(found, docs.count())
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,48 @@ def test_line_edges(edge, empty):
     assert by[7]["n_dropped"] == 1 and by[6]["n_dropped"] == 0
 
 
+@pytest.mark.parametrize("build", [16 << 20, 0])
+def test_hashed_and_sorted_spans_drop_the_same(spark, monkeypatch, build):
+    """Texts are sorted for the last join only if the spans might not fit in memory."""
+    monkeypatch.setattr(L, "BUILD_BYTES", build)
+    rng = random.Random(9)
+    pool = [f"{i} " + "w" * (7 * i % 45) for i in range(12)]
+    rows = [(i % 90, "\n".join(rng.choice(pool) for _ in range(rng.randrange(9)))) for i in range(90)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("ShuffledHashJoin" in plan) == bool(build)
+        assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == brute_lines(rows, L.CHARS)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tables_of_many_partitions_are_written_to_few_files(spark, tmp_path):
+    """Each file starts child processes, and each of them has the executor's memory a second time while it starts."""
+    from registra.llm.queries import QUERIES
+
+    lines = [f"line {i} is a window of its own, for it is long" for i in range(40)]
+    rows = [(i, "\n".join(lines[i % 40 : i % 40 + 3] + ["short", f"own {i}"])) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(60).write.parquet(f"{tmp_path}/documents.parquet")
+    told = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in told}
+    shared, spread = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "registra", common.SPREAD_BYTES
+    old = {*shared.glob("*")}
+    try:
+        for k, v in told.items():
+            spark.conf.set(k, v)
+        common.SPREAD_BYTES = 0
+        QUERIES["op2_line_dedup"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    finally:
+        common.SPREAD_BYTES = spread
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {p.name: len([*p.glob("*.parquet")]) for p in [*({*shared.glob("*")} - old), tmp_path / "out"]}
+    assert len(files) == 5 and max(files.values()) <= 16, files
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 400
+
+
 def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
     a, b = "this line of ten words or more is a window alone", "another line of ten words or more stands in one text"
     rows = [(None, f"{a}\nfirst"), (None, f"start\n{b}"), (5, f"{b}\nfive"), (5, f"other\n{a}"), (5, f"other\n{a}"), (6, "six\nsix")]
