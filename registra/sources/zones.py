@@ -18,6 +18,7 @@ import uuid
 from dataclasses import asdict, dataclass
 from typing import Any
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -64,15 +65,27 @@ class ZoneCatalog:
         return f"{self.root}/{hashlib.sha256(name.encode()).hexdigest()[:32]}.json"
 
     def _write(self, m: Manifest) -> None:
-        """Put the manifest in place of the one before, by a rename that overwrites."""
+        """Put the manifest in place of the one before, by a rename that overwrites.
+
+        A local file system keeps a checksum in a file beside each, which would be renamed apart from it, and its rename with
+        the overwrite option deletes first. So there the manifest is written without one, by the file system underneath, whose
+        plain rename overwrites.
+        """
         jvm, place = self.spark._jvm, self._place(m)
         fs, at = self._fs(f"{place}.{uuid.uuid4().hex}.tmp")
-        out = fs.create(at, True)
+        to = self._fs(place)[1]
+        checked = is_instance_of(self.spark.sparkContext._gateway, fs, "org.apache.hadoop.fs.ChecksumFileSystem")
+        raw = fs.getRawFileSystem() if checked else fs
+        out = raw.create(at, True)
         out.write(bytearray(json.dumps(asdict(m)).encode()))
         out.close()
+        if checked:
+            raw.delete(fs.getChecksumFile(to), False)  # of a manifest that was written with one
+            if not raw.rename(at, to):
+                raise ZoneError(f"{place} could not be replaced")
+            return
         over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        to = self._fs(place)[1]
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(to).toUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(at), fs.makeQualified(to), over)
 
     def _all(self) -> list[Manifest]:

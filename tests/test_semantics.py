@@ -1,6 +1,8 @@
 """NULLs, overflow, refusals, zones that must not serve, and what plans look like."""
 
+import json
 import time
+from dataclasses import asdict
 
 import pytest
 from pyspark.sql import types as T
@@ -261,6 +263,38 @@ def test_zone_is_swapped_whole_under_readers(spark, table, tmp_path):
     assert zones.vacuum() == 0 and zones.vacuum(older_than=-5) == 5 and zones.scan(ScanRequest(table, ("k",), "k", 5, 5)).count() == 100
 
 
+def test_manifest_is_there_and_whole_while_it_is_replaced(spark, table, tmp_path):
+    """Also where a manifest of before has a checksum file beside it, as local file systems write."""
+    import threading
+
+    zones, seen, stop = ZoneCatalog(spark, str(tmp_path / "z")), [], threading.Event()
+    m = zones.build(table, ["k", "v"], 5, 9)
+    fs, at = zones._fs(zones._place(m))
+    old = fs.create(at, True)
+    old.write(bytearray(json.dumps(asdict(m)).encode()))
+    old.close()
+    assert fs.exists(fs.getChecksumFile(at))
+
+    def read():
+        while not stop.is_set():
+            try:
+                seen.append(len(zones._all()))
+            except Exception as e:  # noqa: BLE001
+                seen.append(repr(e))
+
+    readers = [threading.Thread(target=read) for _ in range(3)]
+    for r in readers:
+        r.start()
+    for i in range(300):
+        m.rows = i
+        zones._write(m)
+    stop.set()
+    for r in readers:
+        r.join()
+    assert seen and {*seen} == {1} and zones._all()[0].rows == 299
+    assert [p.name for p in (tmp_path / "z").iterdir() if p.is_file()] == [at.getName()]
+
+
 def test_fingerprint_is_one_row(spark, table, tmp_path):
     first = fingerprint(spark, table)
     assert first[0] >= 1 and first == fingerprint(spark, table) and snapshot(spark, [table]) == {table: first}
