@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.common import HEAVY, cut, discard, free, frozen, join_first, join_hot, parts_for, temporary, u64
+from registra.llm.common import HEAVY, cut, discard, frozen, join_first, join_hot, numbered, parts_for, temporary, times, u64
 from registra.llm.components import components
 from registra.llm.shingles import set_digest, shingles
 
@@ -641,24 +641,20 @@ def labelled(base: DataFrame, n_docs: int, num: int, den: int, words: int) -> tu
 def one_of_each_group(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of linked rows one, that of the smallest id, a missing id coming last. Rows without words stay.
 
-    Rows are joined under a 64-bit hash of id and text, so that different rows of one id, or of none, are told apart.
+    Rows are joined under a 64-bit hash of their place, so that different rows of one id, or of none, are told apart, and equal
+    ones too. What goes is told to the texts where they lie: they are not shuffled.
     """
-    (tag,) = free(docs, "_tag")
-    key, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
-    tagged, n = docs.withColumn(tag, F.xxhash64(key.isNull(), key, text.isNull(), text)), docs.count()
+    tagged, row = numbered(docs, "rows")
+    tag, key, text = F.xxhash64(F.col(row)), F.col("doc_id").cast("long"), F.col("text").cast("string")
+    n = docs.count()
     with temporary() as kept:
-        found = ngram_join(tagged.select(F.col(tag).alias("doc_id"), text.alias("text")), words, similarity).where("n_shingles > 0")
-        found = cut(found.groupBy(F.col("doc_id").alias("_t")).agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("rows")), "found", n)
-        ids = tagged.select(F.col(tag).alias("_t"), key.alias("id")).distinct()
-        first = found.join(ids, "_t").groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "_t", "rows")).alias("m")).select("m._t", "m.rows")
-        first = cut(first, "first", n)
-        gone = cut(found.select("_t", "rows").join(first, "_t", "left_anti"), "gone", n)
-        kept += [found, first, gone]
-    # Rows equal in id and text: one of them. If they are very many, they are picked by a broadcast join; there are few such groups.
-    again, least = first.where("rows > 1"), max(1, n // HOT)
-    same, few, hot = tagged[tag] == F.col("_t"), F.col("rows") <= least, F.col("rows") > least
-    stay = tagged.join(F.broadcast(found.where(hot).select("_t")), same, "left_anti").join(gone.union(again).where(few).select("_t"), same, "left_anti")
-    if again.limit(1).count():
-        equal = tagged.join(F.broadcast(again.where(hot).select("_t")), same, "left_semi").unionByName(tagged.join(again.where(few).select("_t"), same, "left_semi"))
-        stay = stay.unionByName(equal.dropDuplicates([tag]))
-    return stay.drop(tag)
+        found = ngram_join(tagged.select(tag.alias("doc_id"), text.alias("text")), words, similarity).where("n_shingles > 0").withColumnRenamed("doc_id", "_t")
+        # Of rows of one id, the text decides before the place does.
+        own = F.xxhash64(key.isNull(), key, text.isNull(), text)
+        rows = tagged.select(tag.alias("_t"), F.struct(key.isNull().alias("none"), key.alias("id"), own.alias("own"), F.col(row).alias("row")).alias("r"))
+        members = cut(found.join(rows, "_t").select("_t", F.col("component_id").alias("c"), "r"), "members", n)
+        first = members.groupBy("c").agg(F.min(F.struct("r", "_t")).alias("m")).select("m._t")
+        gone = cut(members.join(first, "_t", "left_anti").select(F.col("r.row").alias("row"), F.lit(1).alias("times")), "gone", n)
+        kept.append(gone)
+    out, told = times(tagged, row, gone)
+    return out.where(F.col(told) == 0).select(*docs.columns)

@@ -217,6 +217,39 @@ def test_one_of_each_group_against_brute_force(spark, monkeypatch, seed, hot):
         assert (k, t) in own and (k is None, k or 0) == min((j is None, j or 0) for j, _ in own)
 
 
+def test_one_of_each_group_shuffles_no_texts(spark, tmp_path):
+    """What goes is told to the texts where they lie, however many rows go; equal rows of several files are told apart."""
+    rows = [(i % 40, f"common words of text {i % 50} that all copies share here") for i in range(400)] + [(None, "nobody"), (None, ""), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "docs"))
+    told = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = N.one_of_each_group(spark.read.parquet(str(tmp_path / "docs")))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", told)
+    assert "SortMergeJoin" not in plan and plan.count("FileScan parquet [doc_id") == 1
+    least = {}
+    for i, t in rows[:400]:
+        least[t] = min(i, least.get(t, i))
+    assert sorted(got, key=str) == sorted([(i, t) for t, i in least.items()] + rows[400:], key=str)
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 25, 0])
+def test_times_of_rows(spark, tmp_path, monkeypatch, most_bytes):
+    """Times reach the rows of several files and blocks, by bits and by a shuffled join."""
+    monkeypatch.setattr(common, "BITS_BYTES", most_bytes)
+    spark.range(0, 150_000, 1, 2).write.parquet(str(tmp_path / "t"))
+    for df in (spark.read.parquet(str(tmp_path / "t")), spark.range(0, 150_000, 1, 2).withColumnRenamed("id", "_block")):
+        (name,) = df.columns
+        tagged, row = common.numbered(df, "t")
+        marks = common.cut(tagged.where(f"{name} % 5 > 1 and {name} != 32768").selectExpr(f"{row} as row", f"cast({name} % 5 - 1 as int) as times"), "marks")
+        out, told = common.times(tagged, row, marks, 3)
+        wrong = out.where(f"{told} != if({name} = 32768, 0, greatest(0, {name} % 5 - 1))")
+        assert out.columns == [name, row, told] and (out.count(), out.select(name).distinct().count(), wrong.count()) == (150_000, 150_000, 0)
+
+
 def test_shingles_of_words():
     for text in ("", " \t", "a", "a b c d", "A b\x0bc  d\ne f", "é é é é é é é", "a b c d e a b c d e a b c d e", "w\x85x y z q r s"):
         assert len(shingles(text)) == len(sets_of(text))
