@@ -179,27 +179,28 @@ def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return cut(df.withColumn(row, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), name), row
 
 
-def times(df: DataFrame, row: str, marks: DataFrame, most: int = 1) -> tuple[DataFrame, str]:
+def times(df: DataFrame, row: str, marks: DataFrame) -> tuple[DataFrame, str]:
     """``df``, as numbered() gives it, with a column for the ``times`` that ``marks`` (row, times) has for a row, and that column's name.
 
-    ``marks`` is a written table, has a row at most once and 1 to ``most`` times of it; rows that it does not have get 0. The
-    times reach the rows as bits, ``most`` of them for each row of a block that has marks, and are broadcast; so ``df``, whose
+    ``marks`` is a written table, has a row at most once, and few times of it; rows that it does not have get 0. The times reach
+    the rows as bits, as many for each row of a block that has marks as the most times are, and are broadcast; so ``df``, whose
     rows are whole texts, is not shuffled. Where the blocks are too many for that, as of very many rows or files, it is.
     """
     block, bit, bits, told = free(df, "_block", "_bit", "_bits", "_times")
     place = lambda x: (F.struct(x["file"].alias("file"), F.shiftright(x["at"], BLOCK).alias("block")), x["at"].bitwiseAND((1 << BLOCK) - 1).cast("int"))
     of, at = place(marks["row"])
     placed = marks.select(of.alias(block), at.cast("long").alias(bit), "times")
-    if placed.select(block).distinct().count() * most << BLOCK - 3 > BITS_BYTES:
+    rows, blocks, most = placed.agg(F.count(F.lit(1)), F.countDistinct(block), F.coalesce(F.max("times"), F.lit(1))).first()
+    if blocks * most << BLOCK - 3 > BITS_BYTES:
         marks = marks.select(F.col("row").alias(block), F.col("times").cast("int").alias(bits))
         out = df.join(marks, df[row] == marks[block], "left").withColumn(told, F.coalesce(bits, F.lit(0)))
     else:
         # All rows of a block meet before they become bits, so no part of a bitmap is shuffled.
-        placed = placed.repartition(parts_for(marks.count(), ROWS_A_FILE), block).groupBy(block)
+        placed = placed.repartition(parts_for(rows, ROWS_A_FILE), block).groupBy(block)
         held = placed.agg(*[F.bitmap_construct_agg(F.when(F.col("times") > i, F.col(bit))).alias(f"{bits}{i}") for i in range(most)])
         of, at = place(df[row])
         out = df.join(F.broadcast(held), of == held[block], "left")
-        byte = lambda i: F.conv(F.hex(F.substring(F.col(f"{bits}{i}"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        byte = lambda i: F.conv(F.hex(F.substring(held[f"{bits}{i}"], F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
         one = [F.coalesce(F.getbit(byte(i), at.bitwiseAND(7)), F.lit(0)).cast("int") for i in range(most)]
         out = out.withColumn(told, sum(one[1:], one[0]))
     return out.select(*[df[c] for c in df.columns], told), told

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from registra.llm.common import WORD, cut, free, frozen, join_hot, numbered, parts_for
+from registra.llm.common import WORD, cut, free, frozen, join_hot, numbered, parts_for, times
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -136,9 +136,9 @@ def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, b
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it. How often is told to the texts where they lie."""
     tagged, row = numbered(docs, "rows")
-    taken = cut(mix(tagged, seed, row=row).where("copies > 0").select(F.col(row).alias("_at"), F.col("copies").cast("int").alias("_copies")), "copies", tagged.count())
-    (copy,) = free(docs, "_copy")
-    both = tagged.join(taken, tagged[row] == taken["_at"])
-    return both.select(*[tagged[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["_copies"])).alias(copy)).drop(copy)
+    copies = mix(tagged, seed, row=row).where("copies > 0").select(F.col(row).alias("row"), F.col("copies").cast("int").alias("times"))
+    out, told = times(tagged, row, cut(copies, "copies", tagged.count()))
+    (copy,) = free(out, "_copy")
+    return out.where(F.col(told) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(told))).alias(copy)).drop(copy)

@@ -245,9 +245,11 @@ def test_times_of_rows(spark, tmp_path, monkeypatch, most_bytes):
         (name,) = df.columns
         tagged, row = common.numbered(df, "t")
         marks = common.cut(tagged.where(f"{name} % 5 > 1 and {name} != 32768").selectExpr(f"{row} as row", f"cast({name} % 5 - 1 as int) as times"), "marks")
-        out, told = common.times(tagged, row, marks, 3)
+        out, told = common.times(tagged, row, marks)
         wrong = out.where(f"{told} != if({name} = 32768, 0, greatest(0, {name} % 5 - 1))")
         assert out.columns == [name, row, told] and (out.count(), out.select(name).distinct().count(), wrong.count()) == (150_000, 150_000, 0)
+        out, told = common.times(tagged, row, common.cut(marks.limit(0), "none"))
+        assert out.where(f"{told} = 0").count() == 150_000
 
 
 def test_shingles_of_words():

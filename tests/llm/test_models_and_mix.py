@@ -314,3 +314,15 @@ def test_mixed_documents_take_each_row_as_often_as_the_mix_does(spark):
     for r in mixing.mixed_documents(docs).collect():
         got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
     assert set(got) == {"a", "b", "c"} and all(abs(got[s] - target[s]) <= 10 for s in got)
+
+
+def test_mixed_documents_shuffle_no_texts(spark):
+    """How often a row is taken is told to the texts where they lie, however many rows there are."""
+    told = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = mixing.mixed_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", told)
+    assert "SortMergeJoin" not in plan and plan.count("FileScan parquet [doc_id") == 1
